@@ -1,0 +1,39 @@
+"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metricgraph.llm.common import stored
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Link each node's larger neighbours (large) or its smaller ones and itself (small) to the least of them."""
+    if large:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    if large:
+        linked = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        linked = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return linked.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of edges(a, b): component is the smallest node that can be reached.
+
+    Each round halves the depth of the trees at least, and is written to the shared folder, so that a lost executor
+    repeats one round at most. Edges from a node to itself and repeated edges are harmless; no edges give no rows.
+    """
+    edges = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        edges = stored(_star(_star(edges, True), False), "edges")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
