@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,9 +41,19 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose plans nobody holds any more.
+
+    Its cleaner learns of them only when the driver's collectors run, which a driver with little to do may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once into the shared folder and read back: later jobs neither repeat the work nor depend on executors."""
     spark = df.sparkSession
+    release(spark)
     path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, parallelism, stored
+from metricgraph.llm.common import keyed, parallelism, release, stored
 from metricgraph.llm.near import _mix
 
 LENGTH, LEAD = 100, 32
@@ -257,8 +257,8 @@ def _resolved(suffixes: DataFrame, buckets: int, windows: bool) -> DataFrame:
                 several[-1] = True
             yield part[first & several[group]].assign(kind=1)[names]
 
-    dealt = suffixes.withColumn("at", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("row_key"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    dealt = dealt.repartitionById(buckets, "at").select("bucket", "lead", "span", "row_key", "lo", "n")
+    at = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("row_key"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    dealt = suffixes.repartitionById(buckets, at).select("bucket", "lead", "span", "row_key", "lo", "n")
     return dealt.mapInPandas(run, "kind int, bucket int, lead long, span long, row_key long, lo long, n long")
 
 
@@ -281,6 +281,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # The first window of a bucket repeats if the bucket before ends with an equal one.
     last = more.filter("kind = 3").select((F.col("bucket") + 1).alias("bucket"), "lead", "span")
     across = more.filter("kind = 2").join(last, ["bucket", "lead", "span"])
+    release(spark)
     return reduce_union([t.select("row_key", "lo", "n") for t in (found.filter("kind = 0"), more.filter("kind = 0"), across)])
 
 
