@@ -4,10 +4,16 @@ One hash function; a document keeps the k smallest shingle hashes of its set. In
 taken with its successor in the sketch, bring documents together. Sketches of unions estimate the similarity of a
 candidate pair, and the exact Jaccard similarity of the full sets decides.
 
-How sure a link is to be found: in the union of two linked sets ordered by hash, a share of at least `similarity` is
-common to both. No two neighbours among the first k are then both common with a probability of 0.512 ** k at 0.8
-(k = 32: 5e-10), and no chance is left where both sets have k values or fewer. The estimate is a count out of k; a pair
-goes on from 0.45 x similarity x k (12 of 32), which a linked pair misses with a probability of 1e-8.
+A value that very many sketches retain (a passage that a third of all documents share) would make lists of documents
+that have little else in common. Such hot values are left out of a sketch's keys, unless they are nearly half of it or
+more: then the document consists of them, and its full sketch makes keys too. Two linked documents differ in a fifth of
+their values at most, so at least one kind of key is made by both.
+
+How sure a link is to be found: in the union of two linked sets ordered by hash, a share p of at least 0.8 is common to
+both (of the cold values of documents with half hot ones, at least 0.64). No two neighbours among the first m are then
+both common with a probability of 0.512 ** (m - 1), 6e-19 for m = 64 (0.693 ** (m - 1), 1e-5 for 32 cold ones in the
+worst of cases), and none is left where both sets have k values or fewer. A pair goes on from an estimate of half the
+union sketch, which a linked pair misses with a probability of 4e-9.
 """
 
 from __future__ import annotations
@@ -21,10 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, stored
+from metricgraph.llm.common import keyed, release, stored
 from metricgraph.llm.components import components
 
-SKETCH = 32
+SKETCH = 64
+#: A value is hot beyond so many sketches, or beyond this share of all: at most SKETCH / HOT_SHARE values are hot.
+HOT_LEAST, HOT_SHARE = 200, 1 / 2000
+#: Share of hot values from which the full sketch makes keys, and up to which the cold one does.
+FULL_FROM, COLD_TO = 0.45, 0.7
+#: Least estimate, as a share of the similarity asked for.
+ESTIMATE = 0.625
+#: Fills the rows of sketches shorter than k.
+PAD = np.uint64(2**64 - 1)
 #: Members of an inverted list that one task compares at once.
 BLOCK = 2000
 #: Distinct words whose hashes a worker remembers.
@@ -98,7 +112,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataF
     p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     p = p.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     common = F.size(F.array_intersect("u", F.array_intersect("sa", "sb")))
-    return p.filter(common * 100 >= F.size("u") * percent * 0.45).select("a", "b")
+    return p.filter(common * 100 >= F.size("u") * percent * ESTIMATE).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -123,27 +137,65 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _matrix(sketches: pd.Series, k: int) -> np.ndarray:
+    out = np.full((len(sketches), k), PAD, np.uint64)
+    for row, s in enumerate(sketches):
+        out[row, : len(s)] = np.asarray(s, np.int64).view(np.uint64)
+    return out
+
+
+def _keys(reps: DataFrame, k: int) -> DataFrame:
+    """(key, rep): the entries of the inverted lists."""
+    limit = max(HOT_LEAST, int(reps.count() * HOT_SHARE))
+    held = reps.select(F.explode("sketch").alias("v")).groupBy("v").count().filter(F.col("count") > limit).select("v").collect()
+    hot = np.sort(np.array([r["v"] for r in held], np.int64).view(np.uint64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sketch = _matrix(batch["sketch"], k)
+            is_hot, real = np.isin(sketch, hot), sketch != PAD
+            share = is_hot.sum(1) / np.maximum(real.sum(1), 1)
+            rep, parts = batch["rep"].to_numpy(), []
+            for kind, keep, rows in ((1, real & ~is_hot, share <= COLD_TO), (2, real, (share >= FULL_FROM) & (share > 0))):
+                at, cols = np.nonzero(keep & rows[:, None])
+                value = sketch[at, cols]
+                pair = np.flatnonzero(at[1:] == at[:-1])  # a value and the next one of the same row
+                parts.append(pd.DataFrame({"key": _mix(_mix(value[pair] + np.uint64(kind)) + value[pair + 1]).view(np.int64), "rep": rep[at[pair]]}))
+            yield pd.concat(parts)
+
+    return reps.select("rep", "sketch").mapInPandas(run, "key long, rep long")
+
+
+def _likeness(own: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """Estimated similarity of one sketch to the rows of others, by the bottom k of each union."""
+    merged = np.sort(np.concatenate([np.broadcast_to(own, (len(others), len(own))), others], 1), 1)
+    real, first = merged != PAD, np.ones(merged.shape, bool)
+    first[:, 1:] = merged[:, 1:] != merged[:, :-1]
+    first &= real
+    rank = np.cumsum(first, 1)
+    size = np.minimum(rank[:, -1], k)
+    return (~first & real & (rank <= size[:, None])).sum(1) / np.maximum(size, 1)
+
+
 def _across(lists: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs of one list, of different components so far and alike by their sketches; large lists go by pairs of blocks."""
-    need = 0.45 * percent / 100
+    least = ESTIMATE * percent / 100
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rep, comp, n = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        block = rows["block"].to_numpy()
-        sketch = np.full((len(rows), k), -1, np.int64)
-        for at, s in enumerate(rows["sketch"]):
-            sketch[at, : len(s)] = s
-        held = np.minimum(n, k)
-        found = []
-        largest = pd.Series(comp).mode().iloc[0]
-        for x in np.flatnonzero(comp != largest) if (comp == largest).any() else range(len(rows)):
-            y = (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
-            y &= (block != block[x]) if left != right else True
+        apart = rows["i"].iloc[0] != rows["j"].iloc[0]
+        rep, comp, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+        sketch = _matrix(rows["sketch"], k)
+        names, sizes = np.unique(comp, return_counts=True)
+        found, done = [], np.zeros(len(rows), bool)
+        for x in np.flatnonzero(comp != names[sizes.argmax()]):  # one side of every pair is outside the largest component
+            done[x] = True
+            y = ~done & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
+            if apart:
+                y &= block != block[x]
             y = np.flatnonzero(y)
-            own = sketch[x][: held[x]]
-            common = np.isin(sketch[y], own).sum(1)
-            y = y[common >= need * np.maximum(held[y], held[x])]
+            own = sketch[x][sketch[x] != PAD]
+            y = y[np.isin(sketch[y], own).sum(1) >= least * len(own)]
+            y = y[_likeness(own, sketch[y], k) >= least] if len(y) else y
             found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1))
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame(found, columns=["a", "b"])
@@ -168,9 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     reps = sketches.filter("n_shingles > 0").groupBy(*name).agg(F.min("row_key").alias("rep"), F.first("sketch").alias("sketch"))
     reps = stored(reps, "classes")
 
-    # Inverted lists: a retained value and its successor. A list's least member is its hub; each other is paired with it.
-    pair = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1)))
-    entries = reps.filter("n_shingles > 1").select("rep", F.explode(pair).alias("key"))
+    # Inverted lists. A list's least member is its hub; each other is paired with it.
+    entries = _keys(reps.filter("n_shingles > 1"), k)
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     lists = stored(entries.join(hubs, "key").filter("rep <> hub"), "lists")
     first = _estimated(lists.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent, k)
@@ -182,11 +233,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     open_lists = open_lists.withColumn("component", F.coalesce("component", "rep"))
     mixed = open_lists.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
     open_lists = open_lists.join(mixed, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    more = stored(_estimated(_across(open_lists, percent, k), reps, percent, k), "pairs")
-    more = stored(_verified(more, docs, shingle, percent), "links")
+    more = stored(_verified(stored(_across(open_lists, percent, k), "pairs"), docs, shingle, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 
+    release(docs.sparkSession)
     classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sketches.select("row_key", *name).join(classes, name, "left").withColumn("component", F.coalesce("component", "row_key"))
     out = out.select("row_key", "n_shingles", "component", (F.col("component") == F.col("row_key")).alias("kept"))
