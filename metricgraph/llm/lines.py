@@ -1,6 +1,6 @@
 """op3: near-duplicate lines by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are compared as sequences of words. The edit bound is one word (inserted, deleted or replaced) for lines of at
+Lines are compared as sequences of words, the strings between single spaces. The edit bound is one word (inserted, deleted or replaced) for lines of at
 least NEAR_WORDS words and none for shorter ones. Every line whose first or last half occurs in another distinct line
 emits all its deletion variants as hashed keys: two lines are within the bound exactly if they share a variant with the
 same position left out, or one is a variant of the other. Found pairs are verified on their words.
@@ -14,27 +14,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, stored
+from metricgraph.llm.common import keyed, release, stored
 
 #: Lines of fewer words than this are never removed; of fewer than NEAR_WORDS only when they repeat exactly.
 MIN_WORDS, NEAR_WORDS = 4, 8
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "\\s+"), lambda w: w != "")
+def _count(line: Column) -> Column:
+    """Words of a line: what stands between single spaces."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _name(words: Column) -> list[Column]:
-    """Two independent 64-bit hashes that name a sequence of words."""
-    joined = F.concat_ws(" ", words)
-    return [F.xxhash64(F.lit(0), joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2")]
-
-
-def _half(words: Column, n: Column, last: bool) -> Column:
+def _half(line: Column, n: Column, last: bool) -> Column:
     """Hash of the first or last (n - 1) div 2 words, n being the word count of the shorter line of a pair."""
     size = F.floor((n - 1) / 2).cast("int")
-    part = F.slice(words, F.size(words) - size + 1, size) if last else F.slice(words, F.lit(1), size)
-    return F.xxhash64(F.lit(int(last)), n, F.concat_ws(" ", part))
+    return F.xxhash64(F.lit(int(last)), n, F.call_function("substring_index", line, F.lit(" "), -size if last else size))
+
+
+def _variants(worded: DataFrame) -> DataFrame:
+    """(h1, h2, first, gone, key): each word left out in turn (gone from 1), and the whole line (gone 0).
+
+    A word's hash holds its place in the variant. The key is the exclusive or of the hashes before the gap and, one
+    place further left, behind it, taken from running sums over the line's words, so a line costs its length.
+    """
+    name = ["h1", "h2"]
+    spread = worded.repartition(*name).select(*name, "first", F.posexplode("words").alias("at", "word"))
+    spread = spread.select(*name, "first", "at", F.xxhash64("word", "at").alias("a"), F.xxhash64("word", F.col("at") - 1).alias("b"))
+    spread = spread.selectExpr(
+        "h1", "h2", "first", "at", "a",
+        "bit_xor(a) over (partition by h1, h2 order by at rows between unbounded preceding and current row) as upto",
+        "bit_xor(b) over (partition by h1, h2 order by at rows between unbounded preceding and current row) as upto_b",
+        "bit_xor(a) over (partition by h1, h2) as whole", "bit_xor(b) over (partition by h1, h2) as whole_b",
+    )
+    made = F.array(F.struct((F.col("at") + 1).alias("gone"), F.expr("upto ^ a ^ whole_b ^ upto_b").alias("key")))
+    made = F.when(F.col("at") == 0, F.concat(made, F.array(F.struct(F.lit(0).alias("gone"), F.col("whole").alias("key"))))).otherwise(made)
+    return spread.select(*name, "first", F.inline(made))
 
 
 def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,35 +56,26 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     name = ["h1", "h2"]
     halves = lines.filter(F.col("halves").isNotNull()).select(*name, F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("m0"), F.max("h1").alias("m1")).filter("m0 <> m1").select("half")
-    open_ = halves.join(shared, "half").select(*name).distinct()
+    open_ = stored(halves.join(shared, "half").select(*name).distinct().join(lines.select(*name, "first"), name), "open")
 
     # The words of those lines, from the documents in which they occur first.
-    places = open_.join(lines, name).select(*name, "first", F.col("first.row_key").alias("row_key"))
-    text = docs.join(places.groupBy("row_key").agg(F.collect_list(F.struct(*name, "first")).alias("places")), "row_key")
-    text = text.withColumn("split", F.split("text", "\n")).select("split", F.explode("places").alias("p"))
-    worded = stored(text.select("p.*", _words(F.element_at("split", F.col("p.first.line") + 1)).alias("words")), "lines")
-
-    # Variants: position i left out, and the whole line as position 0. A word's hash holds its place in the variant, so
-    # the variant's key is the exclusive or of the hashes before i and, one place further left, after it.
-    spread = worded.select(*name, "first", F.posexplode("words").alias("at", "word"))
-    spread = spread.select(*name, "first", "at", F.xxhash64(F.lit(0), "word", "at").alias("a"), F.xxhash64(F.lit(0), "word", F.col("at") - 1).alias("b"))
-    spread = spread.selectExpr(
-        "h1", "h2", "first", "at", "a",
-        "bit_xor(a) over (partition by h1, h2 order by at rows between unbounded preceding and current row) ^ a as left_part",
-        "bit_xor(b) over (partition by h1, h2) ^ bit_xor(b) over (partition by h1, h2 order by at rows between unbounded preceding and current row) as right_part",
-    )
-    gone = spread.select(*name, "first", (F.col("at") + 1).alias("gone"), F.col("left_part").bitwiseXOR(F.col("right_part")).alias("key"))
-    whole = spread.groupBy(*name).agg(F.min("first").alias("first"), F.expr("bit_xor(a)").alias("key")).select(*name, "first", F.lit(0).alias("gone"), "key")
+    places = open_.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(*name, "first")).alias("places"))
+    text = docs.join(places, "row_key").withColumn("split", F.split("text", "\n")).select("split", F.explode("places").alias("p"))
+    worded = stored(text.select("p.*", F.split(F.element_at("split", F.col("p.first.line") + 1), " ").alias("words")), "worded")
+
+    # Keys that two variants share; what follows is about those few rows.
+    variants = _variants(worded)
+    twice = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    variants = stored(variants.join(twice, "key"), "variants")
+    gone, whole = variants.filter("gone > 0"), variants.filter("gone = 0")
 
     # Same position left out: replaced words. A whole line against variants: inserted or deleted words.
     member = F.struct("first", "h1", "h2", "gone")
-    replaced = gone.groupBy("key", "gone").agg(F.min(member).alias("e"), F.count("*").alias("n")).filter("n > 1").select("key", "gone", "e")
-    pairs = gone.join(replaced, ["key", "gone"]).filter("first > e.first")
-    pairs = pairs.select(*name, "gone", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.gone").alias("e_gone"))
-    shortest = gone.groupBy("key").agg(F.min(member).alias("e"))
-    inserted = whole.join(shortest, "key").filter("first > e.first").select(*name, "gone", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.gone").alias("e_gone"))
-    base = whole.select("key", F.col("first").alias("f"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
-    deleted = gone.join(base, "key").filter("first > f").select(*name, "gone", "e1", "e2", F.lit(0).alias("e_gone"))
+    pair = [*name, "gone", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.gone").alias("e_gone")]
+    replaced = gone.groupBy("key", "gone").agg(F.min(member).alias("e"))
+    pairs = gone.join(replaced, ["key", "gone"]).filter("first > e.first").select(*pair)
+    inserted = whole.join(gone.groupBy("key").agg(F.min(member).alias("e")), "key").filter("first > e.first").select(*pair)
+    deleted = gone.join(whole.groupBy("key").agg(F.min(member).alias("e")), "key").filter("first > e.first").select(*pair)
     pairs = pairs.union(inserted).union(deleted).distinct()
 
     # Verified on the words themselves: what is left of both lines is equal.
@@ -81,7 +86,7 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     own = worded.select(*name, F.col("words").alias("w"))
     other = worded.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("ew"))
     checked = pairs.join(own, name).join(other, ["e1", "e2"]).filter(rest("w", "gone") == rest("ew", "e_gone"))
-    return checked.select(*name).distinct()
+    return stored(checked.select(*name).distinct(), "near")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -91,18 +96,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = keyed(docs)
     split = docs.select("row_key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    split = split.select("row_key", "line", _words(F.col("body")).alias("words")).filter(F.size("words") >= MIN_WORDS)
-    n = F.size("words")
-    # A pair's shorter line has n or n - 1 words.
-    halves = F.array(*(_half(F.col("words"), k, last) for k in (n, n - 1) for last in (False, True)))
-    occurrence = split.select("row_key", "line", *_name(F.col("words")), F.when(n >= NEAR_WORDS, halves).alias("halves"))
-    occurrence = stored(occurrence, "lines")
+    split = split.withColumn("n", _count(F.col("body"))).filter(F.col("n") >= MIN_WORDS)
+    n, body = F.col("n"), F.col("body")
+    # A pair's shorter line has n or n - 1 words. Two hashes of different seeds name a line.
+    halves = F.array(*(_half(body, k, last) for k in (n, n - 1) for last in (False, True)))
+    names = [F.xxhash64(F.lit(i), body).alias(f"h{i + 1}") for i in range(2)]
+    occurrence = stored(split.select("row_key", "line", *names, F.when(n >= NEAR_WORDS, halves).alias("halves")), "occurrences")
     lines = occurrence.groupBy("h1", "h2").agg(F.min(F.struct("row_key", "line")).alias("first"), F.first("halves").alias("halves"))
     lines = stored(lines, "lines")
     near = _near(lines, docs).withColumn("near", F.lit(True))
+    # Only lines that repeat, or that are near another, have anything to remove.
     decided = lines.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
     repeats = occurrence.select("row_key", "line", "h1", "h2").join(decided, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("row_key", "line") != F.col("first")))
-    gone = stored(repeats.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone")), "lines")
+    gone = stored(repeats.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+    release(docs.sparkSession)
     return docs.join(gone, "row_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 
 
@@ -119,7 +126,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     own, the later ones lose their lines; rows without id come first. Other columns are not read.
     """
     out = repeated_lines(docs)
-    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))
+    return out.select("doc_id", (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def lines(docs, least=4, near_words=8):
     for d, text in sorted(docs):
         gone = []
         for i, line in enumerate((text or "").split("\n")):
-            w = tuple(x for x in re.split(r"[ \t\n\x0B\f\r]+", line) if x)
+            w = tuple(line.split(" "))
             if len(w) < least:
                 continue
             hit = w in exact
