@@ -11,9 +11,9 @@ their values at most, so at least one kind of key is made by both.
 
 How sure a link is to be found: in the union of two linked sets ordered by hash, a share p of at least 0.8 is common to
 both (of the cold values of documents with half hot ones, at least 0.64). No two neighbours among the first m are then
-both common with a probability of 0.512 ** (m - 1), 6e-19 for m = 64 (0.693 ** (m - 1), 1e-5 for 32 cold ones in the
-worst of cases), and none is left where both sets have k values or fewer. A pair goes on from an estimate of half the
-union sketch, which a linked pair misses with a probability of 4e-9.
+both common with a probability of 0.512 ** (m - 1), 2e-7 for m = 24 (0.693 ** (m - 1) for cold ones, 6e-7 for m = 40,
+1e-5 where half of the sketch is hot). Each pair of a list's members is looked at: by its hub and the estimate of half the
+union sketch, which a linked pair misses with a probability of 4e-9, and else by counts over the full sets.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, release, stored
+from metricgraph.llm.common import keyed, own_ids, release, stored
 from metricgraph.llm.components import components
 
 SKETCH = 64
@@ -35,12 +35,16 @@ SKETCH = 64
 HOT_LEAST, HOT_SHARE = 200, 1 / 2000
 #: Share of hot values from which the full sketch makes keys, and up to which the cold one does.
 FULL_FROM, COLD_TO = 0.45, 0.7
+#: Cold values and values at all that make keys.
+COLD_VALUES, FULL_VALUES = 40, 24
 #: Least estimate, as a share of the similarity asked for.
 ESTIMATE = 0.625
+#: Orders of members from which the lists' hubs are taken: a group that shares all its lists meets so many hubs.
+HUBS = 6
 #: Fills the rows of sketches shorter than k.
 PAD = np.uint64(2**64 - 1)
 #: Members of an inverted list that one task compares at once.
-BLOCK = 2000
+BLOCK = 1000
 #: Distinct words whose hashes a worker remembers.
 MAX_WORDS = 500_000
 
@@ -156,8 +160,8 @@ def _keys(reps: DataFrame, k: int) -> DataFrame:
             is_hot, real = np.isin(sketch, hot), sketch != PAD
             share = is_hot.sum(1) / np.maximum(real.sum(1), 1)
             rep, parts = batch["rep"].to_numpy(), []
-            for kind, keep, rows in ((1, real & ~is_hot, share <= COLD_TO), (2, real, (share >= FULL_FROM) & (share > 0))):
-                at, cols = np.nonzero(keep & rows[:, None])
+            for kind, keep, rows, most in ((1, real & ~is_hot, share <= COLD_TO, COLD_VALUES), (2, real, (share >= FULL_FROM) & (share > 0), FULL_VALUES)):
+                at, cols = np.nonzero(keep & rows[:, None] & (np.cumsum(keep, 1) <= most))
                 value = sketch[at, cols]
                 pair = np.flatnonzero(at[1:] == at[:-1])  # a value and the next one of the same row
                 parts.append(pd.DataFrame({"key": _mix(_mix(value[pair] + np.uint64(kind)) + value[pair + 1]).view(np.int64), "rep": rep[at[pair]]}))
@@ -166,39 +170,47 @@ def _keys(reps: DataFrame, k: int) -> DataFrame:
     return reps.select("rep", "sketch").mapInPandas(run, "key long, rep long")
 
 
-def _likeness(own: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-    """Estimated similarity of one sketch to the rows of others, by the bottom k of each union."""
-    merged = np.sort(np.concatenate([np.broadcast_to(own, (len(others), len(own))), others], 1), 1)
-    real, first = merged != PAD, np.ones(merged.shape, bool)
-    first[:, 1:] = merged[:, 1:] != merged[:, :-1]
-    first &= real
-    rank = np.cumsum(first, 1)
-    size = np.minimum(rank[:, -1], k)
-    return (~first & real & (rank <= size[:, None])).sum(1) / np.maximum(size, 1)
+def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, hashes): the full shingle sets of some documents, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["row_key"], "hashes": [shingle_hashes(words_of(t), size).tobytes() for t in batch["text"]]})
+
+    return docs.join(reps.select(F.col("rep").alias("row_key")), "row_key").select("row_key", "text").mapInPandas(run, "rep long, hashes binary")
 
 
-def _across(lists: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs of one list, of different components so far and alike by their sketches; large lists go by pairs of blocks."""
-    least = ESTIMATE * percent / 100
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a list that are in different components so far; large lists go by pairs of blocks.
+
+    Postings of the list's shingles count a member's overlaps with all others at once. Of its links to one component a
+    member gives the strongest alone, which is enough to join the two.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         apart = rows["i"].iloc[0] != rows["j"].iloc[0]
-        rep, comp, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "block"))
-        sketch = _matrix(rows["sketch"], k)
+        rep, comp, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        n = np.array([len(s) for s in sets])
+        ends = np.cumsum(n)
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        owner = np.repeat(np.arange(len(rows)), n)[order]
+        first = np.append(0, np.cumsum(np.bincount(token)))
         names, sizes = np.unique(comp, return_counts=True)
         found, done = [], np.zeros(len(rows), bool)
         for x in np.flatnonzero(comp != names[sizes.argmax()]):  # one side of every pair is outside the largest component
             done[x] = True
-            y = ~done & (comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
+            own = token[ends[x] - n[x] : ends[x]]
+            both = np.bincount(np.concatenate([owner[s:e] for s, e in zip(first[own].tolist(), first[own + 1].tolist(), strict=True)]), minlength=len(rows))
+            y = ~done & (comp != comp[x]) & (100 * both >= percent * (n + n[x] - both))
             if apart:
                 y &= block != block[x]
             y = np.flatnonzero(y)
-            own = sketch[x][sketch[x] != PAD]
-            y = y[np.isin(sketch[y], own).sum(1) >= least * len(own)]
-            y = y[_likeness(own, sketch[y], k) >= least] if len(y) else y
-            found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"])
+            y = y[np.argsort(-both[y] / (n[y] + n[x] - both[y]), kind="stable")]
+            y = y[np.unique(comp[y], return_index=True)[1]]
+            found += [(min(rep[x], rep[i]), max(rep[x], rep[i])) for i in y]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = lists.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -206,6 +218,12 @@ def _across(lists: DataFrame, percent: int, k: int) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def _hub() -> Column:
+    """The hub of a list, as an aggregate: one of HUBS orders of the members, chosen by the key, names its first member."""
+    order = F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.lit(HUBS)))
+    return F.min_by("rep", F.struct(order, "rep")).alias("hub")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """Link docs(doc_id, text) whose word shingle sets have 100 * intersection >= percent * union.
 
@@ -220,20 +238,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     reps = sketches.filter("n_shingles > 0").groupBy(*name).agg(F.min("row_key").alias("rep"), F.first("sketch").alias("sketch"))
     reps = stored(reps, "classes")
 
-    # Inverted lists. A list's least member is its hub; each other is paired with it.
+    # Inverted lists. Each has a hub, with which each other member is paired.
     entries = _keys(reps.filter("n_shingles > 1"), k)
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    lists = stored(entries.join(hubs, "key").filter("rep <> hub"), "lists")
-    first = _estimated(lists.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent, k)
-    links = stored(_verified(stored(first, "pairs"), docs, shingle, percent), "links")
+    hubs = entries.groupBy("key").agg(_hub(), F.count("*").alias("members")).filter("members > 1")
+    lists = stored(entries.join(hubs, "key"), "lists")
+    pairs = lists.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = stored(_verified(stored(_estimated(pairs, reps, percent, k), "pairs"), docs, shingle, percent), "links")
     found = components(links)
 
-    # What the hubs leave open: members of a list that are in different components still.
-    open_lists = lists.filter("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    open_lists = open_lists.withColumn("component", F.coalesce("component", "rep"))
-    mixed = open_lists.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    open_lists = open_lists.join(mixed, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    more = stored(_verified(stored(_across(open_lists, percent, k), "pairs"), docs, shingle, percent), "links")
+    # Members of a list that are in different components still are compared by their full sets.
+    held = lists.filter("members > 2").select("key", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    held = held.withColumn("component", F.coalesce("component", "rep"))
+    several = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    held = stored(held.join(several, "key"), "mixed")
+    sets = stored(_sets(docs, held.select("rep").distinct(), shingle), "sets")
+    more = stored(_verified(stored(_across(held.join(sets, "rep"), percent), "pairs"), docs, shingle, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -249,8 +268,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     All columns of docs stay. Of rows that repeat both doc_id and text one is kept. Texts without words all stay.
     """
-    found = near_duplicates(docs, shingle, percent)
-    if found.filter("row_key is distinct from doc_id").isEmpty():
+    found = stored(near_duplicates(docs, shingle, percent).select("row_key", "doc_id", "kept"), "kept")
+    if own_ids(found):
         return docs.join(found.filter("not kept").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
     kept = keyed(docs).join(found.filter("kept").select("row_key"), "row_key").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
     one = docs.dropDuplicates(["doc_id", "text"])
