@@ -78,6 +78,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "text", "row_key")
 
 
+def own_ids(keyed_docs: DataFrame) -> bool:
+    """Whether row_key is doc_id in every row, so that doc_id alone names a row."""
+    return keyed_docs.filter("row_key is distinct from doc_id").isEmpty()
+
+
 def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[tuple]]], fields: str) -> DataFrame:
     """One row for each row of docs: doc_id as it is, and the fields that the started function gives for its text.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, release, stored
+from metricgraph.llm.common import keyed, own_ids, release, stored
 
 #: Lines of fewer words than this are never removed; of fewer than NEAR_WORDS only when they repeat exactly.
 MIN_WORDS, NEAR_WORDS = 4, 8
@@ -60,7 +60,8 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     # The words of those lines, from the documents in which they occur first.
     places = open_.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(*name, "first")).alias("places"))
-    text = docs.join(places, "row_key").withColumn("split", F.split("text", "\n")).select("split", F.explode("places").alias("p"))
+    # (A merge join at every size: how many documents are meant is not known beforehand.)
+    text = docs.join(places.hint("merge"), "row_key").withColumn("split", F.split("text", "\n")).select("split", F.explode("places").alias("p"))
     worded = stored(text.select("p.*", F.split(F.element_at("split", F.col("p.first.line") + 1), " ").alias("words")), "worded")
 
     # Keys that two variants share; what follows is about those few rows.
@@ -90,11 +91,11 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, text, gone): gone lists the numbers of the lines (from 0) that an earlier line repeats.
+    """(row_key, gone) of docs as keyed(): the numbers of the lines (from 0) that an earlier line repeats.
 
-    Earlier is by (doc_id, line number) over the whole table; near repeats are judged on the input's lines.
+    Earlier is by (row_key, line number) over the whole table; near repeats are judged on the input's lines. Documents
+    that lose no line have no row.
     """
-    docs = keyed(docs)
     split = docs.select("row_key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     split = split.withColumn("n", _count(F.col("body"))).filter(F.col("n") >= MIN_WORDS)
     n, body = F.col("n"), F.col("body")
@@ -110,12 +111,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     repeats = occurrence.select("row_key", "line", "h1", "h2").join(decided, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("row_key", "line") != F.col("first")))
     gone = stored(repeats.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
     release(docs.sparkSession)
-    return docs.join(gone, "row_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    return gone
 
 
-def _kept() -> Column:
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
-    return F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _kept(text: str, gone: str) -> Column:
+    """The text without its lines of those numbers; a text that loses none stays as it is, null included."""
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -125,8 +127,11 @@ def line_report(docs: DataFrame) -> DataFrame:
     empty text is one empty line. Lines of fewer than 4 words are never removed. Repeated rows are documents of their
     own, the later ones lose their lines; rows without id come first. Other columns are not read.
     """
-    out = repeated_lines(docs)
-    return out.select("doc_id", (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))
+    docs = keyed(docs)
+    out = docs.join(repeated_lines(docs), "row_key", "left")
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    n_removed = F.coalesce(F.size("gone"), F.lit(0))
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.sha2(_kept("text", "gone"), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -135,9 +140,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A text that loses no line stays as it is, nulls included. Rows with the same doc_id and text share a decision: the
     one of their first.
     """
-    found = repeated_lines(docs).filter(F.size("gone") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "row_key", _kept().alias("_kept"))
-    found = found.groupBy("_id", "_text").agg(F.min_by("_kept", "row_key").alias("_kept"))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left")
-    out = out.filter(F.col("_kept").isNull() | (F.trim("_kept") != ""))
-    return out.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    own = keyed(docs)
+    gone = repeated_lines(own).select(F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
+    if own_ids(own):
+        out = docs.join(gone, docs["doc_id"] == F.col("_key"), "left")
+    else:
+        first = own.groupBy("doc_id", "text").agg(F.min("row_key").alias("_key")).join(gone, "_key").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "_gone")
+        out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left")
+    out = out.withColumn("_left", _kept("text", "_gone")).filter(F.col("_gone").isNull() | (F.trim("_left") != ""))
+    return out.select(*[F.col("_left").alias("text") if c == "text" else docs[c] for c in docs.columns])
