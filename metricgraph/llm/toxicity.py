@@ -95,11 +95,14 @@ class ToxicityChain:
         return cls(words, models)
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with p_insult, p_contempt and p_toxic. A null or empty text has no words and is scored as such."""
-        frame = _vectors(_words(docs, "words"), self.words)
+        """docs with p_insult, p_contempt and p_toxic. A null or empty text has no words and is scored as such.
+
+        The columns of docs travel as one struct, so their names cannot meet those of the steps.
+        """
+        frame = _vectors(_words(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "text"), "words"), self.words)
         for i, (name, model) in enumerate(zip(CHAIN, self.models, strict=True)):
             frame = _scored(model, _assembled(frame, [f"p_{c}" for c in CHAIN[:i]]), f"p_{name}").drop("features")
-        return frame.select(*docs.columns, *(f"p_{c}" for c in CHAIN))
+        return frame.select("_row.*", *(f"p_{c}" for c in CHAIN))
 
 
 def _vectors(frame: DataFrame, words: list[str]) -> DataFrame:
@@ -132,5 +135,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the chain does not call toxic, with all columns of docs."""
-    scored = ToxicityChain.fit(docs, labels).score(docs)
-    return scored.filter(F.col("p_toxic") < threshold).select(*docs.columns)
+    scored = ToxicityChain.fit(docs, labels).score(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_docs"), "text"))
+    return scored.filter(F.col("p_toxic") < threshold).select("_docs.*")

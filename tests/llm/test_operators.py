@@ -37,8 +37,8 @@ AWKWARD = [
 @pytest.fixture(scope="module")
 def awkward(spark):
     """With extra columns whose names the operators use themselves."""
-    rows = [(d, t, "x", 1, "s", i) for i, (d, t) in enumerate(AWKWARD)]
-    schema = "doc_id long, text string, row_key string, key int, spans string, n long"
+    rows = [(d, t, "x", 1, "s", i, "w", 0.5, "g") for i, (d, t) in enumerate(AWKWARD)]
+    schema = "doc_id long, text string, row_key string, key int, spans string, n long, words string, features double, gone string"
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
@@ -272,7 +272,8 @@ def test_toxicity(spark, awkward, empty):
     assert (said["p"] == said["toxic"]).mean() > 0.95
     assert said[said["toxic"] == 0]["p"].mean() < 0.02
     assert chain.score(awkward).count() == len(AWKWARD) and chain.score(empty).count() == 0
-    assert chain.score(awkward).columns[:6] == awkward.columns
+    assert chain.score(awkward).columns[: len(awkward.columns)] == awkward.columns
+    assert toxicity.drop_toxic(docs.withColumn("words", F.lit(1)), labels).columns == [*docs.columns, "words"]
 
 
 def test_quality(spark, awkward, empty):
