@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, euclidean, sigmoid
+from metricgraph.functions.running import running_sums
 from metricgraph.functions.storage import stored
 
 
@@ -57,19 +58,10 @@ def blend(structural: DataFrame, attribute: DataFrame, alpha: float) -> DataFram
 
 
 def _by_score(scores: DataFrame) -> DataFrame:
-    """(score, tp, fp, pos, neg): one row for each distinct score, with the counts at or above it.
-
-    Rows are summed by score first. The running sums then go over distinct scores only, ordered in ranges: each range
-    adds the total of the ranges above it, so no task sees all of them.
-    """
-    by = scores.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n"))
-    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(by.repartitionByRange(parts, F.col("score").desc()).withColumn("part", F.spark_partition_id()), "scores")
-    totals = ranged.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    above = totals.alias("a").join(F.broadcast(totals.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.p"), F.lit(0)).alias("p0"), F.coalesce(F.sum("b.n"), F.lit(0)).alias("n0"))
-    whole = totals.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    run = ranged.selectExpr("part", "score", "sum(p) over (partition by part order by score desc) as p", "sum(n) over (partition by part order by score desc) as n", "p as own_p", "n as own_n")
-    return run.join(F.broadcast(above), "part").crossJoin(F.broadcast(whole)).select("score", (F.col("p") + F.col("p0")).alias("tp"), (F.col("n") + F.col("n0")).alias("fp"), "own_p", "own_n", "pos", "neg")
+    """(score, own_p, own_n, tp, fp, pos, neg): one row for each distinct score, with the counts at or above it."""
+    by = scores.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("own_p"), F.sum(1 - F.col("label").cast("long")).alias("own_n"))
+    names = {"run_own_p": "tp", "run_own_n": "fp", "all_own_p": "pos", "all_own_n": "neg"}
+    return running_sums(by, "score", ["own_p", "own_n"], descending=True).withColumnsRenamed(names)
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.functions.arrays import Metric, coords, det2, flat, inverse2, matrix_of
+from metricgraph.functions.arrays import Metric, coords, det2, flat, inverse2
 
 Bounds = Sequence[tuple[float, float]]
 
@@ -197,7 +197,3 @@ def curvature_change(first: DataFrame, second: DataFrame) -> DataFrame:
     raw = both.select("id", F.try_divide(F.col("b") - F.col("a"), F.col("a")).alias("r"))
     mean = raw.agg(F.avg(F.nanvl("r", F.lit(None).cast("double"))).alias("m"))
     return raw.crossJoin(F.broadcast(mean)).select("id", (F.col("r") - F.col("m")).alias("change"))
-
-
-def field_metric_columns(g: Column, dims: int = 2) -> list[list[Column]]:
-    return matrix_of(g, dims)

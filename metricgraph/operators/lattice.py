@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +142,3 @@ def path_report(spark: SparkSession, ends: DataFrame, metric: Metric, bounds: Bo
     euclid = pair_distances(pairs, "euclidean", None, len(bounds)).withColumnRenamed("dist", "euclidean")
     lattice = lattice_distances(spark, ends, metric, bounds, grid).select("i", "j", F.col("length").alias("lattice_length"))
     return lattice.join(euclid, ["i", "j"]).join(straight, ["i", "j"])
-
-
-def default_grid_step(bounds: Bounds, grid: int) -> float:
-    return math.fsum((hi - lo) / grid for lo, hi in bounds) / len(bounds)

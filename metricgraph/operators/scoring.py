@@ -150,11 +150,7 @@ def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_convolution(nodes: DataFrame, edges: DataFrame, layers: Sequence[Sequence[Layer]]) -> DataFrame:
-    """(node_id, features) after several rounds of: propagate, then the round's layers.
-
-    A linear layer without bias commutes with propagation, so it is applied to the smaller of the two widths' rows: here
-    after, since inputs are no wider than the model.
-    """
+    """(node_id, features) after several rounds of: propagate along the edges, then apply the round's layers."""
     for body in layers:
         nodes = decode_dense(propagate(nodes, edges), body, "features").withColumnRenamed("output", "features")
     return nodes

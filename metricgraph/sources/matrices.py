@@ -27,7 +27,7 @@ def read_matrix(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[D
     A line with anything that is no number goes to the rejects as a whole.
     """
     lines = _numbered_lines(spark, path)
-    cells = lines.withColumn("cells", F.transform(F.split("line", f"\\Q{delimiter}\\E"), lambda x: F.expr("x") if x is None else F.trim(x)))
+    cells = lines.withColumn("cells", F.transform(F.split("line", f"\\Q{delimiter}\\E"), lambda x: F.trim(x)))
     parsed = cells.withColumn("values", F.expr("transform(cells, x -> try_cast(x as double))"))
     bad = F.exists("values", lambda v: v.isNull())
     coo = parsed.filter(~bad).select("file", "row", F.posexplode("values").alias("col", "value"))
