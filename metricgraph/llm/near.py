@@ -192,16 +192,23 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
         rep, comp, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
         sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
         n = np.array([len(s) for s in sets])
-        ends = np.cumsum(n)
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(token, kind="stable")
-        owner = np.repeat(np.arange(len(rows)), n)[order]
-        first = np.append(0, np.cumsum(np.bincount(token)))
+        whose = np.repeat(np.arange(len(rows)), n)
+        held = np.concatenate(sets)
+        order = np.argsort(held, kind="stable")
+        twin = np.append(False, held[order[1:]] == held[order[:-1]])
+        shared = twin | np.append(twin[1:], False)  # shingles of one member alone overlap with nothing
+        owner = whose[order[shared]]
+        token = np.cumsum(~twin[shared]) - 1
+        first = np.append(np.flatnonzero(~twin[shared]), len(token))
+        by_owner = np.argsort(owner, kind="stable")
+        mine = np.append(0, np.cumsum(np.bincount(owner, minlength=len(rows))))
         names, sizes = np.unique(comp, return_counts=True)
         found, done = [], np.zeros(len(rows), bool)
         for x in np.flatnonzero(comp != names[sizes.argmax()]):  # one side of every pair is outside the largest component
             done[x] = True
-            own = token[ends[x] - n[x] : ends[x]]
+            own = token[by_owner[mine[x] : mine[x + 1]]]
+            if 100 * len(own) < percent * n[x]:
+                continue  # even all that it shares with anyone would be too little
             both = np.bincount(np.concatenate([owner[s:e] for s, e in zip(first[own].tolist(), first[own + 1].tolist(), strict=True)]), minlength=len(rows))
             y = ~done & (comp != comp[x]) & (100 * both >= percent * (n + n[x] - both))
             if apart:
