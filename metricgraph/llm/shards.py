@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricgraph.llm.common import END_ID, parallelism, shared_folder, stored
-from metricgraph.llm.ranges import row_splitters
+from metricgraph.llm.ranges import part_of, row_splitters
 from metricgraph.llm.tokens import Encoder
 from metricgraph.llm.wordbpe import Vocabulary, vocabulary
 
@@ -178,15 +178,18 @@ class ShardReader:
 
 
 def library_chunks(v: Vocabulary, chunks: list[str]) -> list[bytes]:
-    """Ids of each chunk by the tokenizers library, a few thousand chunks at a time."""
+    """Ids of each chunk by the tokenizers library, a few thousand chunks in one call as words that are already apart."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
     tokenizer = _tokenizer(v.path)
     out: list[bytes] = []
     for i in range(0, len(chunks), 4096):
         some = chunks[i : i + 4096]
-        made = tokenizer.encode_batch([c.removeprefix(" ") for c in some], add_special_tokens=False)
-        out += [np.array([v.special[c[1:]]] if c[0] == " " and c[1:] in v.special else e.ids, "<u4").tobytes() for c, e in zip(some, made, strict=True)]
-    return out
+        made = tokenizer.encode([c.removeprefix(" ") for c in some], is_pretokenized=True, add_special_tokens=False)
+        data = np.array(made.ids, "<u4").tobytes()
+        cut = (4 * np.searchsorted(np.array(made.word_ids), np.arange(len(some) + 1))).tolist()
+        out += [data[s:e] for s, e in zip(cut, cut[1:], strict=False)]
+    special = {f" {w}": np.array([i], "<u4").tobytes() for w, i in v.special.items()}
+    return [special.get(c, ids) if c[0] == " " else ids for c, ids in zip(chunks, out, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -211,10 +214,6 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     tops = row_splitters(docs, "key", parts or parallelism(docs.sparkSession))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(part=np.searchsorted(np.array(tops, np.int64), batch["key"].to_numpy(), side="right").astype(np.int32))
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, library_chunks, decoded=False)
         wide = 2 if max(len(vocabulary(path).tokens) - 1, end_id or 0) < 2**16 else 4
@@ -232,7 +231,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
             yield pd.DataFrame([[*row, last, len(writer.keys), writer.ids]], columns=["part", "path", "first_key", "last_key", "n_docs", "n_ids"])
 
     # A range is one partition, so that its task writes one file.
-    dealt = docs.mapInPandas(deal, "key long, text string, part int").repartitionById(len(tops) + 1, "part").sortWithinPartitions("key", "text")
+    dealt = docs.withColumn("part", part_of(F.col("key"), tops)).repartitionById(len(tops) + 1, "part").sortWithinPartitions("key", "text")
     return stored(dealt.select("part", "key", "text").mapInPandas(write, MANIFEST), "manifest").orderBy("part")
 
 
