@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricgraph.llm.common import keyed, parallelism, release, stored
 from metricgraph.llm.near import _mix
@@ -294,7 +295,7 @@ def reduce_union(tables: list[DataFrame]) -> DataFrame:
 
 def _cut(texts: DataFrame, schema: str, row) -> DataFrame:  # noqa: ANN001
     """row(row_key, bytes, removed spans as an array of (start, end)) for each text."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, data in _texts(batches):
