@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Word vocabulary of the public tokenizers, and the id that op5 appends to each document.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Rows that a task works on at a time.
+ROWS = 2_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -94,9 +96,11 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
-        for batch in batches:
-            rows = of([t or "" for t in batch.column("text").to_pylist()])
-            columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *arrow.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # what is made for a batch can be many times its size
+                batch = whole.slice(at, ROWS)
+                rows = of([t or "" for t in batch.column("text").to_pylist()])
+                columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *arrow.names])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
