@@ -7,7 +7,10 @@ candidate pair, and the exact Jaccard similarity of the full sets decides.
 A value that very many sketches retain (a passage that a third of all documents share) would make lists of documents
 that have little else in common. Such hot values are left out of a sketch's keys, unless they are nearly half of it or
 more: then the document consists of them, and its full sketch makes keys too. Two linked documents differ in a fifth of
-their values at most, so at least one kind of key is made by both.
+their values at most, so at least one kind of key is made by both. Sets of at most SMALL values make full keys whenever they
+hold a hot value: of u values in the union of two linked sets at most 0.2 u are not common, which breaks 0.4 u of the
+u - 1 pairs of neighbours, so a key is surely shared. Of linked sets of which one is larger and keeps to cold keys, these
+have enough pairs for the same count.
 
 How sure a link is to be found: in the union of two linked sets ordered by hash, a share p of at least 0.8 is common to
 both (of the cold values of documents with half hot ones, at least 0.64). No two neighbours among the first m are then
@@ -35,6 +38,8 @@ SKETCH = 64
 HOT_LEAST, HOT_SHARE = 200, 1 / 2000
 #: Share of hot values from which the full sketch makes keys, and up to which the cold one does.
 FULL_FROM, COLD_TO = 0.45, 0.7
+#: Sets of at most so many values make full keys as soon as one value is hot: they are too small for chances.
+SMALL = 16
 #: Cold values and values at all that make keys.
 COLD_VALUES, FULL_VALUES = 40, 24
 #: Least estimate, as a share of the similarity asked for.
@@ -159,8 +164,9 @@ def _keys(reps: DataFrame, k: int) -> DataFrame:
             sketch = _matrix(batch["sketch"], k)
             is_hot, real = np.isin(sketch, hot), sketch != PAD
             share = is_hot.sum(1) / np.maximum(real.sum(1), 1)
+            full = (share >= FULL_FROM) | (is_hot.any(1) & (real.sum(1) <= SMALL))
             rep, parts = batch["rep"].to_numpy(), []
-            for kind, keep, rows, most in ((1, real & ~is_hot, share <= COLD_TO, COLD_VALUES), (2, real, (share >= FULL_FROM) & (share > 0), FULL_VALUES)):
+            for kind, keep, rows, most in ((1, real & ~is_hot, share <= COLD_TO, COLD_VALUES), (2, real, full, FULL_VALUES)):
                 at, cols = np.nonzero(keep & rows[:, None] & (np.cumsum(keep, 1) <= most))
                 value = sketch[at, cols]
                 pair = np.flatnonzero(at[1:] == at[:-1])  # a value and the next one of the same row

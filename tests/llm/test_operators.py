@@ -125,6 +125,18 @@ def test_near_duplicates_with_hot_values(spark, monkeypatch):
     assert got == brute.near(data, 2, 80)
 
 
+def test_near_duplicates_of_short_texts_with_hot_values(spark, monkeypatch):
+    """Five shingles, two of them hot, against four of these: every pair is linked, whatever the order of the hashes."""
+    monkeypatch.setattr(near, "HOT_LEAST", 5)
+    monkeypatch.setattr(near, "HOT_SHARE", 0.0)
+    data = []
+    for i in range(60):
+        data += [(2 * i, f"all rights reserved x{i} y{i} z{i}"), (2 * i + 1, f"all rights reserved x{i} y{i}")]
+    got = rows(near.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 2, 80), "n_shingles", "component")
+    assert got == brute.near(data, 2, 80)
+    assert all(got[2 * i + 1] == (4, 2 * i) for i in range(60))
+
+
 def test_near_duplicates_of_nothing_and_repeats(empty, repeated):
     assert near.near_duplicates(empty).count() == 0
     got = near.near_duplicates(repeated).collect()
