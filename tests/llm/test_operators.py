@@ -163,6 +163,35 @@ def test_lines_of_nothing_and_repeats(empty, repeated, awkward):
     assert set(kept) == {d for d, _ in AWKWARD} - {6, 9} and kept[7] == "short" and kept[2] is None
 
 
+SHORT = [
+    (1, "Les.\n\nAll rights reserved.\nfive words stand right here\n    \n    "),
+    (2, "Les.\n\nAll rights reserved.\nfive words stood right here"),
+    (3, "a b\nfive words right here\n\nall rights reserved."),
+]
+
+
+@pytest.mark.parametrize("table", ["documents", "short"])
+def test_short_lines_of_the_whole_job(spark, request, table):
+    """Exact repeats of every line that is not blank, near ones from 4 words on, against brute force."""
+    docs = request.getfixturevalue(table) if table == "documents" else spark.createDataFrame(SHORT, "doc_id long, text string")
+    data = pairs(docs)
+    expected = {}
+    for d, gone in brute.lines(data, 1, 4).items():
+        parts = (dict(data)[d] or "").split("\n")
+        expected[d] = "\n".join(x for i, x in enumerate(parts) if i not in gone or not x.strip())
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, lines.WHOLE).collect()}
+    assert kept == {d: t for d, t in expected.items() if t.strip() or t == (dict(data)[d] or "")}
+    if table == "short":
+        assert kept == {1: SHORT[0][1], 3: "a b\n\nall rights reserved."}
+
+
+def test_pipeline_takes_short_lines(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(SHORT, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("table", ["documents", "awkward"])
 def test_suffixes(request, table, monkeypatch):
     docs = request.getfixturevalue(table)
