@@ -95,14 +95,14 @@ def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("walked_paths")
 def walked_paths(spark: SparkSession, sf: str) -> DataFrame:
-    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf).filter("source % 50 = 0"), max_rounds=5)
+    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf), max_rounds=5)
     return paths.walk_paths(labels)
 
 
 @query("measured_paths")
 def measured_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.points(spark, sf).select(F.col("id").alias("node"), "coord")
-    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf).filter("source % 50 = 0"), max_rounds=4)
+    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf), max_rounds=4)
     return paths.measure_paths(paths.walk_paths(labels), p, METRIC)
 
 
@@ -119,7 +119,7 @@ def lattice_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("lattice_path_report")
 def lattice_path_report(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice.path_report(spark, _ends(spark, sf).filter("id < 4"), METRIC, BOX, 10, 20)
+    return lattice.path_report(spark, tables.points(spark, sf), METRIC, BOX, 10, 20)
 
 
 @query(
