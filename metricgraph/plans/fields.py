@@ -316,4 +316,4 @@ def compare_distances(spark: SparkSession, sf: str) -> DataFrame:
 @query("graph_distances")
 def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.points(spark, sf)
-    return neighbors.graph_distances(p, METRIC, K, max_rounds=8)
+    return neighbors.graph_distances(p, METRIC, K)

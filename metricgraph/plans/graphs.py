@@ -281,4 +281,4 @@ def node_assortativity(spark: SparkSession, sf: str) -> DataFrame:
 def similarity_distances(spark: SparkSession, sf: str) -> DataFrame:
     e = radius_graph(spark, sf).select("src", "dst", F.exp(-F.col("weight")).alias("weight"))
     sources = tables.points(spark, sf).select(F.col("id").alias("source"))
-    return diffusion.similarity_distances(e, sources, max_rounds=6)
+    return diffusion.similarity_distances(e, sources)

@@ -95,14 +95,14 @@ def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("walked_paths")
 def walked_paths(spark: SparkSession, sf: str) -> DataFrame:
-    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf), max_rounds=5)
+    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf))
     return paths.walk_paths(labels)
 
 
 @query("measured_paths")
 def measured_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.points(spark, sf).select(F.col("id").alias("node"), "coord")
-    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf), max_rounds=4)
+    labels = paths.shortest_paths(radius_graph(spark, sf), _sources(spark, sf))
     return paths.measure_paths(paths.walk_paths(labels), p, METRIC)
 
 
