@@ -21,15 +21,12 @@ def attribute_errors(actual: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return both.select("node_id", euclidean(F.col("x"), F.col("y")).alias("error"))
 
 
-def structural_errors(latent: DataFrame, edges: DataFrame, max_nodes: int = 20_000, force: bool = False) -> DataFrame:
+def structural_errors(latent: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, error): length of row i of A - sigmoid(z zT), diagonal included, A as counts (H2).
 
     latent(node_id, z) is met block by block and summed in the same stage, so no pair is written. The sum of squares over
-    all pairs is corrected at the edges: (a - s)^2 = s^2 + a (a - 2 s). More than max_nodes nodes need force.
+    all pairs is corrected at the edges: (a - s)^2 = s^2 + a (a - 2 s).
     """
-    n = latent.count()
-    if n > max_nodes and not force:
-        raise ValueError(f"{n} nodes have {n * n} pairs; pass force=True")
     blocks = max(1, int(int(latent.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = latent.select(F.col("node_id").alias("i"), F.col("z").alias("a"), own.alias("x"), spread.alias("y"))

@@ -137,7 +137,7 @@ def path_report(spark: SparkSession, ends: DataFrame, metric: Metric, bounds: Bo
     """(i, j, lattice_length, euclidean, straight) for all pairs of ends(id, coord)."""
     from metricgraph.operators.distance import all_pairs, pair_distances, straight_line
 
-    pairs = all_pairs(ends)
+    pairs = all_pairs(ends, force=True)
     straight = pair_distances(pairs, straight_line(points, bounds), metric, len(bounds)).withColumnRenamed("dist", "straight")
     euclid = pair_distances(pairs, "euclidean", None, len(bounds)).withColumnRenamed("dist", "euclidean")
     lattice = lattice_distances(spark, ends, metric, bounds, grid).select("i", "j", F.col("length").alias("lattice_length"))

@@ -42,15 +42,13 @@ def gaussian_nll(rows: DataFrame, component: float = 5.0, decoder: float = 100.0
     return out.withColumn("loss", F.col("nll") + component * F.col("comp_var") + decoder * F.col("dec_var"))
 
 
-def adjacency_bce(latent: DataFrame, edges: DataFrame, pos_weight: float = 1.0, norm: float = 1.0, max_nodes: int = 20_000, force: bool = False) -> DataFrame:
+def adjacency_bce(latent: DataFrame, edges: DataFrame, pos_weight: float = 1.0, norm: float = 1.0) -> DataFrame:
     """One row, loss: cross entropy of sigmoid(z zT) against A over all n^2 pairs.
 
     The sum over all pairs of softplus(x) is made block against block and added up at once; A only enters at its edges:
     -a pos_weight log p - (1 - a) log (1 - p) = softplus(x) + a (pos_weight softplus(-x) - softplus(x)).
     """
     n = latent.count()
-    if n > max_nodes and not force:
-        raise ValueError(f"{n} nodes have {n * n} pairs; pass force=True")
     blocks = max(1, int(int(latent.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = latent.select(F.col("z").alias("a"), own.alias("x"), spread.alias("y"))

@@ -28,7 +28,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def point_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return distance.distance_table(tables.points(spark, sf), "euclidean")
+    return distance.distance_table(tables.points(spark, sf), "euclidean", force=True)
 
 
 def radius_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def edges_without_loops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("complete_edges", "select a.s_suppkey as src, b.s_suppkey as dst, 1.0::double as weight from supplier a join supplier b on a.s_suppkey <> b.s_suppkey")
 def complete_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.complete_edges(tables.suppliers(spark, sf))
+    return graph.complete_edges(tables.suppliers(spark, sf), force=True)
 
 
 @query("loop_edges", "select s_suppkey as src, s_suppkey as dst, 1.0::double as weight from supplier")

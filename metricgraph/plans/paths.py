@@ -49,7 +49,7 @@ def radius_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("full_lattice_edges", f"with {LAT} select p.cell as src, q.cell as dst from lat p join lat q on q.cell > p.cell")
 def full_lattice_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice.full_edges(nodes(spark, sf).select("cell"))
+    return lattice.full_edges(nodes(spark, sf).select("cell"), force=True)
 
 
 @query("lattice_features", f"with {LAT} select cell, round(x, 6) + 0.0 as f0, a::double as f2, round({bump('x', 'y')}, 6) as f4, 0.0::double as f5 from lat")
