@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.functions.storage import stored
+from metricgraph.functions.storage import discard, stored
 
 
 def edges_from_matrix(coo: DataFrame) -> DataFrame:
@@ -25,12 +25,12 @@ def _both(edges: DataFrame, *more: str) -> DataFrame:
 
 def symmetrize(edges: DataFrame, combine: str = "sum", order: str | None = None) -> DataFrame:
     """Symmetric edges. "sum" adds both directions of every row, so a self-loop or a twice listed edge doubles.
-    "last" keeps the weight of the row with the greatest `order` (A9)."""
+    "last" keeps the weight of the row with the greatest `order`; of rows with equal order, the greatest weight (A9)."""
     if combine == "sum":
         return _both(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     if order is None:
         raise ValueError('combine="last" needs an order column')
-    return _both(edges, order).groupBy("src", "dst").agg(F.max_by("weight", order).alias("weight"))
+    return _both(edges, order).groupBy("src", "dst").agg(F.max_by("weight", F.struct(order, "weight")).alias("weight"))
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
@@ -74,11 +74,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(found, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component): the least node id that can be reached along edges in either direction.
+def reached(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of links(a, b): component is the least node that can be reached.
 
     Large-star and small-star rounds: every node is linked to the least of its neighbours, which shortens all trees at
-    once, so long chains need few rounds.
+    once, so long chains need few rounds. Each round is written, so that a lost executor repeats one at most, and the
+    round before it is deleted. Links from a node to itself and repeated links are harmless; no links give no rows.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -90,12 +91,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return linked.filter("b > a").selectExpr("b as a", "m as b").filter("a <> b").distinct()
         return linked.selectExpr("b as a", "m as b").union(least.selectExpr("a", "m as b")).filter("a <> b").distinct()
 
-    pairs = stored(edges.selectExpr("src as a", "dst as b").filter("a <> b").distinct(), "pairs")
+    now = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     while True:
-        pairs = stored(star(star(pairs, True), False), "pairs")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        then, now = now, stored(star(star(now, True), False), "links")
+        discard(then)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return nodes.select("node_id").join(pairs.selectExpr("a as node_id", "b as component"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
+    return now.selectExpr("a as node", "b as component").union(now.selectExpr("b as node", "b as component").distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, component): the least node id that can be reached along edges in either direction."""
+    found = reached(edges.selectExpr("src as a", "dst as b")).withColumnRenamed("node", "node_id")
+    return nodes.select("node_id").join(found, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))

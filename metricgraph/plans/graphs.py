@@ -55,7 +55,7 @@ def symmetrize_sum(spark: SparkSession, sf: str) -> DataFrame:
     return graph.symmetrize(ship(spark, sf)).select("src", "dst", r6("weight"))
 
 
-@query("symmetrize_last", f"with {SHIP} select src, dst, arg_max(weight, ord) as weight from (select src, dst, weight, ord from ship union all select dst, src, weight, ord from ship) group by src, dst")
+@query("symmetrize_last", f"with {SHIP} select src, dst, arg_max(weight, {{'o': ord, 'w': weight}}) as weight from (select src, dst, weight, ord from ship union all select dst, src, weight, ord from ship) group by src, dst")
 def symmetrize_last(spark: SparkSession, sf: str) -> DataFrame:
     return graph.symmetrize(ship(spark, sf), "last", "ord")
 
@@ -181,14 +181,18 @@ def affinity_report(spark: SparkSession, sf: str) -> DataFrame:
     return laplacian.affinity_report(pairs, laplacian.bandwidth(pairs, n), n).select(r6("zero_share"), r6("energy_kept"))
 
 
-def _kernel(spark: SparkSession, sf: str, rate: float) -> DataFrame:
+def _kernel(spark: SparkSession, sf: str, rate: float | None) -> DataFrame:
+    """exp(-t * rate * weight) of supplier edges; without a rate weights are relative to the largest one."""
     t = F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0)))).alias("t")
     loops = graph.loop_edges(tables.suppliers(spark, sf)).withColumn("weight", F.lit(0.0))
-    return edges(spark, sf).union(loops).select("src", "dst", "weight", t).select("t", F.col("src").alias("row"), F.col("dst").alias("col"), F.exp(-F.col("t") * rate * F.col("weight")).alias("value"))
+    e = edges(spark, sf)
+    entries = e.union(loops).crossJoin(F.broadcast(e.agg((1.0 / F.max("weight")).alias("rate") if rate is None else F.lit(rate).alias("rate"))))
+    return entries.select("src", "dst", "weight", "rate", t).select("t", F.col("src").alias("row"), F.col("dst").alias("col"), F.exp(-F.col("t") * F.col("rate") * F.col("weight")).alias("value"))
 
 
-def _kernel_sql(name: str, rate: float) -> str:
-    return f"{name} as (select t, src as row, dst as col, exp(-t * {rate} * weight) as value from (select src, dst, weight from edges union all select s_suppkey, s_suppkey, 0.0 from supplier), (values (0.5), (1.0), (2.0)) v(t))"
+def _kernel_sql(name: str, rate: float | None) -> str:
+    by = "(select 1.0 / max(weight) from edges)" if rate is None else rate
+    return f"{name} as (select t, src as row, dst as col, exp(-t * {by} * weight) as value from (select src, dst, weight from edges union all select s_suppkey, s_suppkey, 0.0 from supplier), (values (0.5), (1.0), (2.0)) v(t))"
 
 
 @query(
@@ -202,7 +206,7 @@ def kernel_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "kernel_report",
-    f"""{with_tables('supplier_pairs')}, {SYMMETRIC}, {_kernel_sql('a', 0.1)}, n as (select count(*)::double as n from supplier),
+    f"""{with_tables('supplier_pairs')}, {SYMMETRIC}, {_kernel_sql('a', None)}, n as (select count(*)::double as n from supplier),
     r as (select t, row, sum(value) as s from a group by t, row), rs as (select t, avg(s) as m, stddev_pop(s) as sd from r group by t),
     g as (select t, sum(value) filter (where row = col) as trace, sum(value) as total, sum(value * value) as sq, sum(abs(value)) as ab, max(abs(value)) as max_abs from a group by t)
     select g.t::double as t, round(trace, 6) as trace, round(total / (n * n), 6) as mean, round(sq / (n * n) - pow(total / (n * n), 2), 6) as var, round((trace / n) / ((total - trace) / (n * (n - 1)) + 1e-20), 6) as ratio,
@@ -211,7 +215,7 @@ def kernel_divergence(spark: SparkSession, sf: str) -> DataFrame:
 )
 def kernel_report(spark: SparkSession, sf: str) -> DataFrame:
     n = tables.suppliers(spark, sf).count()
-    r = diffusion.kernel_report(_kernel(spark, sf, 0.1), n)
+    r = diffusion.kernel_report(_kernel(spark, sf, None), n)
     return r.select("t", r6("trace"), r6("mean"), r6("var"), r6("diag_offdiag_ratio", "ratio"), r6("row_std"), r6("mean_abs"), r6("max_abs"), "informative")
 
 
