@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from metricgraph.functions.storage import discard, possibly_among, release, shared_folder, stored  # noqa: F401
+
 #: Word vocabulary of the public tokenizers, and the id that op5 appends to each document.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -31,36 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing (a local session in tests) a local folder is set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose plans nobody holds any more.
-
-    Its cleaner learns of them only when the driver's collectors run, which a driver with little to do may not do for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write once into the shared folder and read back: later jobs neither repeat the work nor depend on executors."""
-    spark = df.sparkSession
-    release(spark)
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,13 +15,18 @@ have enough pairs for the same count.
 How sure a link is to be found: in the union of two linked sets ordered by hash, a share p of at least 0.8 is common to
 both (of the cold values of documents with half hot ones, at least 0.64). No two neighbours among the first m are then
 both common with a probability of 0.512 ** (m - 1), 2e-7 for m = 24 (0.693 ** (m - 1) for cold ones, 6e-7 for m = 40,
-1e-5 where half of the sketch is hot). Each pair of a list's members is looked at: by its hub and the estimate of half the
-union sketch, which a linked pair misses with a probability of 4e-9, and else by counts over the full sets.
+1e-5 where half of the sketch is hot).
+
+Each list has a hub, and all lists of a hub make one group. The hub is compared with each member: the estimate of the
+union sketch, which a linked pair misses with a probability of 4e-9, and the words themselves. Members of a group that
+are in different components after that are compared with each other: overlaps counted from the inverted lists of the
+group's retained values, the same estimate, and for the members that this leaves counts over their full sets. So full
+sets travel once for each group in which a member is still in question, and never for lists that are settled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, own_ids, release, stored
-from metricgraph.llm.components import components
+from metricgraph.llm.common import discard, keyed, own_ids, parallelism, possibly_among, release, stored
+from metricgraph.operators.graph import reached
 
 SKETCH = 64
 #: A value is hot beyond so many sketches, or beyond this share of all: at most SKETCH / HOT_SHARE values are hot.
@@ -115,7 +120,8 @@ def _sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) that sizes and the sketch of the union leave. Unsigned order is kept by the sign bit."""
     flipped = F.transform("sketch", lambda x: x.bitwiseXOR(F.lit(-(2**63))))
-    side = reps.select("rep", "n_shingles", flipped.alias("s"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    side = possibly_among(reps.select("rep", "n_shingles", "sketch"), "rep", ids).select("rep", "n_shingles", flipped.alias("s"))
     p = pairs.join(side.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("s").alias("sa")), "a")
     p = p.join(side.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("s").alias("sb")), "b")
     p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -124,10 +130,14 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataF
     return p.filter(common * 100 >= F.size("u") * percent * ESTIMATE).select("a", "b")
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row_key, text) of the documents whose row_key is among ids, which may repeat. The join is the same at every size."""
+    return possibly_among(docs.select("row_key", "text"), "row_key", ids).join(ids.distinct().hint("merge"), "row_key")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    texts = stored(docs.join(ids, "row_key").select("row_key", "text"), "candidates")
+    texts = stored(_chosen(docs, pairs.select(F.explode(F.array("a", "b")).alias("row_key"))), "candidates")
     joined = pairs.join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("tb")), "b")
     joined = joined.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -146,10 +156,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _matrix(sketches: pd.Series, k: int) -> np.ndarray:
+def _matrix(sketches: Iterable[np.ndarray], k: int) -> np.ndarray:
     out = np.full((len(sketches), k), PAD, np.uint64)
     for row, s in enumerate(sketches):
-        out[row, : len(s)] = np.asarray(s, np.int64).view(np.uint64)
+        out[row, : len(s)] = s.view(np.uint64)
     return out
 
 
@@ -176,65 +186,152 @@ def _keys(reps: DataFrame, k: int) -> DataFrame:
     return reps.select("rep", "sketch").mapInPandas(run, "key long, rep long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(rep, hashes): the full shingle sets of some documents, as bytes."""
+def _estimates(x: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sketch of the union of x with each of the others: its values that both have, and its size."""
+    both = np.sort(np.concatenate([np.broadcast_to(x, others.shape), others], 1), 1)
+    twin = np.zeros(both.shape, bool)
+    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
+    rank = np.cumsum(~twin & (both != PAD), 1)
+    return (twin & (rank <= k)).sum(1), np.minimum(rank[:, -1], k)
+
+
+def _postings(values: np.ndarray, whose: np.ndarray, members: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each member the numbers of its values that others hold too; the members that hold value i are owner[first[i] : first[i + 1]]."""
+    order = np.argsort(values, kind="stable")
+    twin = np.append(False, values[order[1:]] == values[order[:-1]])
+    shared = twin | np.append(twin[1:], False)
+    owner, token = whose[order[shared]], np.cumsum(~twin[shared]) - 1
+    first = np.append(np.flatnonzero(~twin[shared]), len(token))
+    by_owner = np.argsort(owner, kind="stable")
+    mine = np.append(0, np.cumsum(np.bincount(owner, minlength=members)))
+    return [token[by_owner[s:e]] for s, e in zip(mine, mine[1:], strict=False)], owner, first
+
+
+def _overlaps(own: np.ndarray, owner: np.ndarray, first: np.ndarray, members: int) -> np.ndarray:
+    """How many of these values each member holds."""
+    lists = [owner[s:e] for s, e in zip(first[own].tolist(), first[own + 1].tolist(), strict=True)]
+    return np.bincount(np.concatenate(lists), minlength=members) if lists else np.zeros(members, np.int64)
+
+
+Rows = dict[str, np.ndarray]
+
+
+def _per_group(groups: DataFrame, of: Callable[[Rows], list[tuple[int, int]]], names: tuple[str, str]) -> DataFrame:
+    """The pairs of numbers that `of` finds in each hub's group; of large groups, each pair of blocks meets.
+
+    A task goes through its groups in order and holds one at a time, of two blocks at most.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["row_key"], "hashes": [shingle_hashes(words_of(t), size).tobytes() for t in batch["text"]]})
+            batch = batch if rest is None else pd.concat([rest, batch])
+            rows = {c: batch[c].to_numpy() for c in batch}
+            new = np.flatnonzero(np.any([np.diff(rows[c]) != 0 for c in ("hub", "i", "j")], 0)) + 1
+            cut = [0, *new.tolist()]
+            found = [p for s, e in zip(cut, cut[1:], strict=False) for p in of({c: v[s:e] for c, v in rows.items()})]
+            rest = batch.iloc[cut[-1] :]
+            yield pd.DataFrame(found, columns=list(names), dtype="int64")
+        if rest is not None and len(rest):
+            yield pd.DataFrame(of({c: rest[c].to_numpy() for c in rest}), columns=list(names), dtype="int64")
 
-    return docs.join(reps.select(F.col("rep").alias("row_key")), "row_key").select("row_key", "text").mapInPandas(run, "rep long, hashes binary")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = dealt.drop("o", "members").repartition(parallelism(groups.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.mapInPandas(run, f"{names[0]} long, {names[1]} long").distinct()
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a list that are in different components so far; large lists go by pairs of blocks.
+class _Group:
+    """Members of one group: who is in another component, and who shares how many values with whom."""
 
-    Postings of the list's shingles count a member's overlaps with all others at once. Of its links to one component a
-    member gives the strongest alone, which is enough to join the two.
-    """
+    def __init__(self, rows: Rows, values: np.ndarray, whose: np.ndarray):
+        self.rep, self.component, self.block, self.n = (rows[c] for c in ("rep", "component", "block", "n_shingles"))
+        self.apart = rows["i"][0] != rows["j"][0]
+        self.own, self.owner, self.first = _postings(values, whose, len(self.rep))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        apart = rows["i"].iloc[0] != rows["j"].iloc[0]
-        rep, comp, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
-        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        n = np.array([len(s) for s in sets])
-        whose = np.repeat(np.arange(len(rows)), n)
-        held = np.concatenate(sets)
-        order = np.argsort(held, kind="stable")
-        twin = np.append(False, held[order[1:]] == held[order[:-1]])
-        shared = twin | np.append(twin[1:], False)  # shingles of one member alone overlap with nothing
-        owner = whose[order[shared]]
-        token = np.cumsum(~twin[shared]) - 1
-        first = np.append(np.flatnonzero(~twin[shared]), len(token))
-        by_owner = np.argsort(owner, kind="stable")
-        mine = np.append(0, np.cumsum(np.bincount(owner, minlength=len(rows))))
-        names, sizes = np.unique(comp, return_counts=True)
-        found, done = [], np.zeros(len(rows), bool)
-        for x in np.flatnonzero(comp != names[sizes.argmax()]):  # one side of every pair is outside the largest component
+    def pairs(self, percent: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(x, others, values in common) for each member x outside the largest component.
+
+        Others are in another component, of a size that allows a link, and share at least `least` of x and of their own.
+        """
+        names, sizes = np.unique(self.component, return_counts=True)
+        done = np.zeros(len(self.rep), bool)
+        for x in np.flatnonzero(self.component != names[sizes.argmax()]):
             done[x] = True
-            own = token[by_owner[mine[x] : mine[x + 1]]]
-            if 100 * len(own) < percent * n[x]:
+            if len(self.own[x]) < least[x]:
                 continue  # even all that it shares with anyone would be too little
-            both = np.bincount(np.concatenate([owner[s:e] for s, e in zip(first[own].tolist(), first[own + 1].tolist(), strict=True)]), minlength=len(rows))
-            y = ~done & (comp != comp[x]) & (100 * both >= percent * (n + n[x] - both))
-            if apart:
-                y &= block != block[x]
+            both = _overlaps(self.own[x], self.owner, self.first, len(self.rep))
+            y = ~done & (self.component != self.component[x]) & (both >= np.maximum(least, least[x]))
+            y &= 100 * np.minimum(self.n, self.n[x]) >= percent * np.maximum(self.n, self.n[x])
+            if self.apart:
+                y &= self.block != self.block[x]
             y = np.flatnonzero(y)
-            y = y[np.argsort(-both[y] / (n[y] + n[x] - both[y]), kind="stable")]
-            y = y[np.unique(comp[y], return_index=True)[1]]
-            found += [(min(rep[x], rep[i]), max(rep[x], rep[i])) for i in y]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            if len(y):
+                yield x, y, both[y]
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = lists.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+def _close(groups: DataFrame, percent: int, k: int) -> DataFrame:
+    """(hub, rep) of the members that have another one in a different component so near that the union's sketch leaves the pair."""
+
+    def of(rows: Rows) -> list[tuple[int, int]]:
+        sketch = _matrix(rows["sketch"], k)
+        group = _Group(rows, sketch[sketch != PAD], np.repeat(np.arange(len(sketch)), (sketch != PAD).sum(1)))
+        close, least = np.zeros(len(sketch), bool), percent * ESTIMATE / 100
+        looked = group.rep == rows["hub"][0]  # pairs with the hub have been looked at
+        for x, y, _ in group.pairs(percent, least * np.minimum(group.n, k)):
+            y = y[~(looked[y] | looked[x] | close[y] & close[x])]
+            common, size = _estimates(sketch[x], sketch[y], k)
+            y = y[common >= least * size]
+            close[y] = True
+            close[x] |= len(y) > 0
+        return [(rows["hub"][0], r) for r in group.rep[close]]
+
+    return _per_group(groups, of, ("hub", "rep"))
+
+
+def _across(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members in different components so far, by counts over the full sets of shingles.
+
+    Of its links to one component a member gives the strongest alone, which is enough to join the two.
+    """
+
+    def of(rows: Rows) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        group = _Group(rows, np.concatenate(sets), np.repeat(np.arange(len(sets)), rows["n_shingles"]))
+        rep, found = group.rep, set()
+        for x, y, both in group.pairs(percent, percent * group.n / 100):
+            share = both / (group.n[y] + group.n[x] - both)
+            linked = 100 * both >= percent * (group.n[y] + group.n[x] - both)
+            y, share = y[linked], share[linked]
+            y = y[np.argsort(-share, kind="stable")]
+            y = y[np.unique(group.component[y], return_index=True)[1]]
+            found |= {(min(rep[x], rep[i]), max(rep[x], rep[i])) for i in y}
+        return sorted(found)
+
+    return _per_group(groups, of, ("a", "b"))
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(rep, hashes): the full shingle sets of some documents, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["row_key"], "hashes": [shingle_hashes(words_of(t), size).tobytes() for t in batch["text"]]})
+
+    return docs.select("row_key", "text").mapInPandas(run, "rep long, hashes binary")
 
 
 def _hub() -> Column:
     """The hub of a list, as an aggregate: one of HUBS orders of the members, chosen by the key, names its first member."""
     order = F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.lit(HUBS)))
-    return F.min_by("rep", F.struct(order, "rep")).alias("hub")
+    return F.min(F.struct(order, "rep"))["rep"].alias("hub")
+
+
+def _mixed(groups: DataFrame) -> DataFrame:
+    """The groups whose members are in several components, with the number of members."""
+    several = groups.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members"))
+    return groups.join(several.filter("c0 <> c1").select("hub", "members"), "hub")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -250,28 +347,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     name = ["s1", "s2", "n_shingles"]
     reps = sketches.filter("n_shingles > 0").groupBy(*name).agg(F.min("row_key").alias("rep"), F.first("sketch").alias("sketch"))
     reps = stored(reps, "classes")
+    members = sketches.select("row_key", *name).join(reps.select(*name, "rep").hint("merge"), name, "left")
+    members = stored(members.select("row_key", "n_shingles", "rep"), "members")
+    discard(sketches)
 
     # Inverted lists. Each has a hub, with which each other member is paired.
     entries = _keys(reps.filter("n_shingles > 1"), k)
-    hubs = entries.groupBy("key").agg(_hub(), F.count("*").alias("members")).filter("members > 1")
-    lists = stored(entries.join(hubs, "key"), "lists")
-    pairs = lists.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = stored(_verified(stored(_estimated(pairs, reps, percent, k), "pairs"), docs, shingle, percent), "links")
-    found = components(links)
-
-    # Members of a list that are in different components still are compared by their full sets.
-    held = lists.filter("members > 2").select("key", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    held = held.withColumn("component", F.coalesce("component", "rep"))
-    several = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    held = stored(held.join(several, "key"), "mixed")
-    sets = stored(_sets(docs, held.select("rep").distinct(), shingle), "sets")
-    more = stored(_verified(stored(_across(held.join(sets, "rep"), percent), "pairs"), docs, shingle, percent), "links")
+    hubs = entries.groupBy("key").agg(_hub(), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    pairs = entries.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct()
+    grouped = stored(pairs, "pairs")
+    release(docs.sparkSession)
+    pairs = grouped.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = stored(_verified(stored(_estimated(pairs, reps, percent, k), "estimated"), docs, shingle, percent), "links")
+    found = reached(links)
+
+    # Members of a hub's lists that are in different components still are compared with each other: by their sketches,
+    # and those that are near another one by their full sets.
+    groups = grouped.union(grouped.select(F.col("hub").alias("rep"), "hub").distinct())
+    groups = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = stored(_mixed(groups).filter("members > 2"), "groups")
+    sides = possibly_among(reps.select("rep", "n_shingles", "sketch"), "rep", groups.select("rep"))
+    close = stored(_close(groups.join(sides.hint("merge"), "rep"), percent, k), "close")
+    groups = _mixed(groups.drop("members").join(close, ["hub", "rep"]).join(reps.select("rep", "n_shingles").hint("merge"), "rep"))
+    sets = stored(_sets(_chosen(docs, close.select(F.col("rep").alias("row_key"))), shingle), "sets")
+    more = stored(_verified(stored(_across(groups.join(sets.hint("merge"), "rep"), percent), "pairs"), docs, shingle, percent), "links")
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = reached(links.union(more))
 
     release(docs.sparkSession)
-    classes = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("row_key", *name).join(classes, name, "left").withColumn("component", F.coalesce("component", "row_key"))
+    out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep", "row_key"))
     out = out.select("row_key", "n_shingles", "component", (F.col("component") == F.col("row_key")).alias("kept"))
     return docs.select("row_key", "doc_id").join(out, "row_key")
 
@@ -282,8 +386,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     All columns of docs stay. Of rows that repeat both doc_id and text one is kept. Texts without words all stay.
     """
     found = stored(near_duplicates(docs, shingle, percent).select("row_key", "doc_id", "kept"), "kept")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     if own_ids(found):
-        return docs.join(found.filter("not kept").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    kept = keyed(docs).join(found.filter("kept").select("row_key"), "row_key").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
-    one = docs.dropDuplicates(["doc_id", "text"])
-    return one.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("text", F.lit("")) == F.col("_text")), "left_semi")
+        gone = found.filter("not kept").select(F.col("doc_id").alias("gone"))
+        return rows.join(gone.hint("merge"), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+    kept = keyed(docs).join(found.filter("kept").select("row_key"), "row_key").select("doc_id", "text").distinct()
+    one = docs.dropDuplicates(["doc_id", "text"]).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return one.join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.coalesce("row.text", F.lit("")) == F.col("text")), "left_semi").select("row.*")
