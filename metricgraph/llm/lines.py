@@ -1,7 +1,8 @@
 """op3: near-duplicate lines by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are compared as sequences of words, the strings between single spaces. The edit bound is one word (inserted, deleted or replaced) for lines of at
-least rule.near words (NEAR_WORDS in the query) and none for shorter ones. Every line whose first or last half occurs in another distinct line
+Lines are compared as sequences of words, the strings between single spaces. The edit bound is one word (inserted, deleted
+or replaced) for lines of at least NEAR_WORDS words and none for shorter ones, which go when they repeat exactly. Blank
+lines stay. Every line whose first or last half occurs in another distinct line
 emits all its deletion variants as hashed keys: two lines are within the bound exactly if they share a variant with the
 same position left out, or one is a variant of the other. Found pairs are verified on their words.
 
@@ -11,27 +12,13 @@ line alone, which is enough to know whether an earlier line exists.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.llm.common import keyed, own_ids, release, stored
 
-#: Of the query: lines of fewer words than this are never removed; of fewer than NEAR_WORDS only when they repeat exactly.
-MIN_WORDS, NEAR_WORDS = 4, 8
-
-
-class Rule(NamedTuple):
-    """From how many words on a line is removed when it repeats, and when it is near; blank lines may stay as they are."""
-
-    least: int
-    near: int
-    keep_blank: bool
-
-
-#: What the SQL of op3_line_dedup asks for, and every line that is not blank (near ones from 4 words on).
-SQL_RULE, WHOLE = Rule(MIN_WORDS, NEAR_WORDS, False), Rule(1, 4, True)
+#: Lines of fewer words than this are removed only when they repeat exactly: one word would be more than a quarter of them.
+NEAR_WORDS = 4
 
 
 def _count(line: Column) -> Column:
@@ -104,21 +91,19 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(checked.select(*name).distinct(), "near")
 
 
-def repeated_lines(docs: DataFrame, rule: Rule = SQL_RULE) -> DataFrame:
+def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(row_key, gone) of docs as keyed(): the numbers of the lines (from 0) that an earlier line repeats.
 
     Earlier is by (row_key, line number) over the whole table; near repeats are judged on the input's lines. Documents
     that lose no line have no row.
     """
     split = docs.select("row_key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    split = split.withColumn("n", _count(F.col("body"))).filter(F.col("n") >= rule.least)
-    if rule.keep_blank:
-        split = split.filter(F.col("body").rlike("\\S"))
+    split = split.withColumn("n", _count(F.col("body"))).filter(F.col("body").rlike(r"[^ \t\x0B\f\r]"))
     n, body = F.col("n"), F.col("body")
     # A pair's shorter line has n or n - 1 words. Two hashes of different seeds name a line.
     halves = F.array(*(_half(body, k, last) for k in (n, n - 1) for last in (False, True)))
     names = [F.xxhash64(F.lit(i), body).alias(f"h{i + 1}") for i in range(2)]
-    occurrence = stored(split.select("row_key", "line", *names, F.when(n >= rule.near, halves).alias("halves")), "occurrences")
+    occurrence = stored(split.select("row_key", "line", *names, F.when(n >= near_words, halves).alias("halves")), "occurrences")
     lines = occurrence.groupBy("h1", "h2").agg(F.min(F.struct("row_key", "line")).alias("first"), F.first("halves").alias("halves"))
     lines = stored(lines, "lines")
     near = _near(lines, docs).withColumn("near", F.lit(True))
@@ -136,28 +121,28 @@ def _kept(text: str, gone: str) -> Column:
     return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """Deduplicate the lines of docs(doc_id, text), keeping the earliest of each group.
 
     Returns doc_id, n_lines, n_removed, kept_sha256 (of the text that is left), one row for each row of docs. A null or
-    empty text is one empty line. Lines of fewer than 4 words are never removed. Repeated rows are documents of their
+    empty text is one empty line. Blank lines are never removed. Repeated rows are documents of their
     own, the later ones lose their lines; rows without id come first. Other columns are not read.
     """
     docs = keyed(docs)
-    out = docs.join(repeated_lines(docs), "row_key", "left")
+    out = docs.join(repeated_lines(docs, near_words), "row_key", "left")
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     n_removed = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.sha2(_kept("text", "gone"), 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame, rule: Rule = SQL_RULE) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with repeated lines taken out of text, with all columns of docs. Documents of which nothing is left go.
 
     A text that loses no line stays as it is, nulls included. Rows with the same doc_id and text share a decision: the
     one of their first.
     """
     own = keyed(docs)
-    gone = repeated_lines(own, rule).select(F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(own, near_words).select(F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
     if own_ids(own):
         out = docs.join(gone, docs["doc_id"] == F.col("_key"), "left")
     else:

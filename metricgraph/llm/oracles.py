@@ -34,9 +34,9 @@ occ as (
     select doc_id, i - 1 as line, parts[i] as body, string_split(parts[i], ' ') as w
     from split, unnest(range(1, len(parts) + 1)) u(i)
 ),
-named as (select doc_id, line, w, array_to_string(w, ' ') as name from occ where len(w) >= 4),
+named as (select doc_id, line, w, body as name from occ where trim(body, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 firsts as (select name, any_value(w) as w, min((doc_id, line)) as first from named group by name),
-long_ as (select name, w, first, len(w) as n from firsts where len(w) >= 8),
+long_ as (select name, w, first, len(w) as n from firsts where len(w) >= 4),
 gone as (select name, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') as rest from long_, unnest(range(1, n + 1)) u(i)),
 replaced as (select name from (select name, first, min(first) over (partition by rest, i) as m from gone) where first > m),
 deleted as (select g.name from gone g join long_ l on l.name = g.rest and g.first > l.first),

@@ -76,7 +76,7 @@ def windows(docs, items, window=10):
     return out
 
 
-def lines(docs, least=4, near_words=8):
+def lines(docs, near_words=4):
     """doc_id -> removed line numbers."""
 
     def within_one(a, b):
@@ -93,7 +93,7 @@ def lines(docs, least=4, near_words=8):
         gone = []
         for i, line in enumerate((text or "").split("\n")):
             w = tuple(line.split(" "))
-            if len(w) < least:
+            if not line.strip(" \t\x0b\f\r"):
                 continue
             hit = w in exact
             if not hit and len(w) >= near_words:

@@ -144,23 +144,29 @@ def test_near_duplicates_of_nothing_and_repeats(empty, repeated):
     assert near.keep_one(repeated).count() == 3
 
 
-@pytest.mark.parametrize("table", ["documents", "awkward"])
-def test_lines(request, table):
-    docs = request.getfixturevalue(table)
+@pytest.mark.parametrize("near_words", [4, 8])
+@pytest.mark.parametrize("table", ["documents", "awkward", "short"])
+def test_lines(spark, request, table, near_words):
+    """Exact repeats of every line that is not blank, near ones from so many words on, against brute force."""
+    docs = spark.createDataFrame(SHORT, "doc_id long, text string") if table == "short" else request.getfixturevalue(table)
     data = pairs(docs)
-    expected = {}
-    for d, gone in brute.lines(data).items():
-        parts = (dict(data)[d] or "").split("\n")
+    report, left = {}, {}
+    for d, gone in brute.lines(data, near_words).items():
+        text = dict(data)[d]
+        parts = (text or "").split("\n")
         kept = "\n".join(x for i, x in enumerate(parts) if i not in gone)
-        expected[d] = (len(parts), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    assert rows(lines.line_report(docs), "n_lines", "n_removed", "kept_sha256") == expected
+        report[d] = (len(parts), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        if not gone or kept.strip(" "):
+            left[d] = kept if gone else text
+    assert rows(lines.line_report(docs, near_words), "n_lines", "n_removed", "kept_sha256") == report
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, near_words).collect()} == left
 
 
 def test_lines_of_nothing_and_repeats(empty, repeated, awkward):
-    assert lines.line_report(empty).count() == 0
+    assert lines.line_report(empty).count() == lines.dedup_lines(empty).count() == 0
     assert sorted(r["n_removed"] for r in lines.line_report(repeated).collect()) == [0, 0, 0, 1, 1]
     kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(awkward).collect()}
-    assert set(kept) == {d for d, _ in AWKWARD} - {6, 9} and kept[7] == "short" and kept[2] is None
+    assert set(kept) == {d for d, _ in AWKWARD} - {6, 9, 13, 14} and kept[7] == "short" and kept[2] is None
 
 
 SHORT = [
@@ -170,21 +176,6 @@ SHORT = [
 ]
 
 
-@pytest.mark.parametrize("table", ["documents", "short"])
-def test_short_lines_of_the_whole_job(spark, request, table):
-    """Exact repeats of every line that is not blank, near ones from 4 words on, against brute force."""
-    docs = request.getfixturevalue(table) if table == "documents" else spark.createDataFrame(SHORT, "doc_id long, text string")
-    data = pairs(docs)
-    expected = {}
-    for d, gone in brute.lines(data, 1, 4).items():
-        parts = (dict(data)[d] or "").split("\n")
-        expected[d] = "\n".join(x for i, x in enumerate(parts) if i not in gone or not x.strip())
-    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, lines.WHOLE).collect()}
-    assert kept == {d: t for d, t in expected.items() if t.strip() or t == (dict(data)[d] or "")}
-    if table == "short":
-        assert kept == {1: SHORT[0][1], 3: "a b\n\nall rights reserved."}
-
-
 def test_pipeline_takes_short_lines(spark):
     import corpus_pipeline
 
