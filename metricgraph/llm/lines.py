@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import keyed, own_ids, release, stored
+from metricgraph.llm.common import discard, keyed, own_ids, possibly_among, release, stored
 
 #: Lines of fewer words than this are removed only when they repeat exactly: one word would be more than a quarter of them.
 NEAR_WORDS = 4
+#: What names a line: its document and its number in it, from 0.
+PLACE = ["row_key", "line"]
 
 
 def _count(line: Column) -> Column:
@@ -33,62 +35,67 @@ def _half(line: Column, n: Column, last: bool) -> Column:
 
 
 def _variants(worded: DataFrame) -> DataFrame:
-    """(h1, h2, first, gone, key): each word left out in turn (gone from 1), and the whole line (gone 0).
+    """(row_key, line, gone, key): each word left out in turn (gone from 1), and the whole line (gone 0).
 
     A word's hash holds its place in the variant. The key is the exclusive or of the hashes before the gap and, one
     place further left, behind it, taken from running sums over the line's words, so a line costs its length.
     """
-    name = ["h1", "h2"]
-    spread = worded.repartition(*name).select(*name, "first", F.posexplode("words").alias("at", "word"))
-    spread = spread.select(*name, "first", "at", F.xxhash64("word", "at").alias("a"), F.xxhash64("word", F.col("at") - 1).alias("b"))
+    spread = worded.repartition(*PLACE).select(*PLACE, F.posexplode("words").alias("at", "word"))
+    spread = spread.select(*PLACE, "at", F.xxhash64("word", "at").alias("a"), F.xxhash64("word", F.col("at") - 1).alias("b"))
     spread = spread.selectExpr(
-        "h1", "h2", "first", "at", "a",
-        "bit_xor(a) over (partition by h1, h2 order by at rows between unbounded preceding and current row) as upto",
-        "bit_xor(b) over (partition by h1, h2 order by at rows between unbounded preceding and current row) as upto_b",
-        "bit_xor(a) over (partition by h1, h2) as whole", "bit_xor(b) over (partition by h1, h2) as whole_b",
+        *PLACE, "at", "a",
+        "bit_xor(a) over (partition by row_key, line order by at rows between unbounded preceding and current row) as upto",
+        "bit_xor(b) over (partition by row_key, line order by at rows between unbounded preceding and current row) as upto_b",
+        "bit_xor(a) over (partition by row_key, line) as whole", "bit_xor(b) over (partition by row_key, line) as whole_b",
     )
     made = F.array(F.struct((F.col("at") + 1).alias("gone"), F.expr("upto ^ a ^ whole_b ^ upto_b").alias("key")))
     made = F.when(F.col("at") == 0, F.concat(made, F.array(F.struct(F.lit(0).alias("gone"), F.col("whole").alias("key"))))).otherwise(made)
-    return spread.select(*name, "first", F.inline(made))
+    return spread.select(*PLACE, F.inline(made))
 
 
 def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines within one word of an earlier distinct line; lines has h1, h2, first, halves."""
-    name = ["h1", "h2"]
-    halves = lines.filter(F.col("halves").isNotNull()).select(*name, F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("m0"), F.max("h1").alias("m1")).filter("m0 <> m1").select("half")
-    open_ = stored(halves.join(shared, "half").select(*name).distinct().join(lines.select(*name, "first"), name), "open")
+    """(h1, h2) of distinct lines within one word of an earlier distinct line; lines has h1, h2, row_key, line, halves."""
+    halves = lines.filter(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    some = halves.join(shared.hint("merge"), "half").select("h1").distinct()
+    open_ = stored(some.join(lines.filter(F.col("halves").isNotNull()).select("h1", "h2", *PLACE).hint("merge"), "h1"), "open")
+    release(docs.sparkSession)
 
     # The words of those lines, from the documents in which they occur first.
-    places = open_.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(*name, "first")).alias("places"))
-    # (A merge join at every size: how many documents are meant is not known beforehand.)
-    text = docs.join(places.hint("merge"), "row_key").withColumn("split", F.split("text", "\n")).select("split", F.explode("places").alias("p"))
-    worded = stored(text.select("p.*", F.split(F.element_at("split", F.col("p.first.line") + 1), " ").alias("words")), "worded")
+    # (Merge joins at every size: how many documents are meant is not known beforehand.)
+    places = open_.groupBy("row_key").agg(F.collect_list("line").alias("places"))
+    text = possibly_among(docs.select("row_key", "text"), "row_key", places).join(places.hint("merge"), "row_key")
+    text = text.withColumn("split", F.split("text", "\n")).select("row_key", "split", F.explode("places").alias("line"))
+    worded = stored(text.select(*PLACE, F.split(F.element_at("split", F.col("line") + 1), " ").alias("words")), "worded")
+    release(docs.sparkSession)
 
     # Keys that two variants share; what follows is about those few rows.
-    variants = _variants(worded)
-    twice = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    variants = stored(variants.join(twice, "key"), "variants")
+    every = stored(_variants(worded), "variants")
+    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    variants = stored(possibly_among(every, "key", twice).join(twice.hint("merge"), "key"), "shared")
+    discard(every)
     gone, whole = variants.filter("gone > 0"), variants.filter("gone = 0")
 
     # Same position left out: replaced words. A whole line against variants: inserted or deleted words.
-    member = F.struct("first", "h1", "h2", "gone")
-    pair = [*name, "gone", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.gone").alias("e_gone")]
-    replaced = gone.groupBy("key", "gone").agg(F.min(member).alias("e"))
-    pairs = gone.join(replaced, ["key", "gone"]).filter("first > e.first").select(*pair)
-    inserted = whole.join(gone.groupBy("key").agg(F.min(member).alias("e")), "key").filter("first > e.first").select(*pair)
-    deleted = gone.join(whole.groupBy("key").agg(F.min(member).alias("e")), "key").filter("first > e.first").select(*pair)
-    pairs = pairs.union(inserted).union(deleted).distinct()
+    member, later = F.min(F.struct(*PLACE, "gone")).alias("e"), F.struct(*PLACE) > F.struct("e.row_key", "e.line")
+    pair = [*PLACE, "gone", F.col("e.row_key").alias("e_key"), F.col("e.line").alias("e_line"), F.col("e.gone").alias("e_gone")]
+    replaced = gone.join(gone.groupBy("key", "gone").agg(member), ["key", "gone"])
+    inserted = whole.join(gone.groupBy("key").agg(member), "key")
+    deleted = gone.join(whole.groupBy("key").agg(member), "key")
+    pairs = stored(replaced.filter(later).select(*pair).union(inserted.filter(later).select(*pair)).union(deleted.filter(later).select(*pair)).distinct(), "pairs")
 
     # Verified on the words themselves: what is left of both lines is equal.
     def rest(words: str, gone: str) -> Column:
         w, g = F.col(words), F.col(gone)
         return F.when(g == 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(g - 1, F.lit(0))), F.slice(w, g + 1, F.size(w))))
 
-    own = worded.select(*name, F.col("words").alias("w"))
-    other = worded.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("ew"))
-    checked = pairs.join(own, name).join(other, ["e1", "e2"]).filter(rest("w", "gone") == rest("ew", "e_gone"))
-    return stored(checked.select(*name).distinct(), "near")
+    meant = possibly_among(worded, "row_key", pairs.select("row_key").union(pairs.select("e_key")))
+    own = meant.select(*PLACE, F.col("words").alias("w"))
+    other = meant.select(F.col("row_key").alias("e_key"), F.col("line").alias("e_line"), F.col("words").alias("ew"))
+    checked = pairs.join(own, PLACE).join(other, ["e_key", "e_line"]).filter(rest("w", "gone") == rest("ew", "e_gone"))
+    near = stored(checked.select(*PLACE).distinct().join(open_, PLACE).select("h1", "h2").distinct(), "near")
+    discard(open_, worded, variants, pairs)
+    return near
 
 
 def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -103,14 +110,18 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     # A pair's shorter line has n or n - 1 words. Two hashes of different seeds name a line.
     halves = F.array(*(_half(body, k, last) for k in (n, n - 1) for last in (False, True)))
     names = [F.xxhash64(F.lit(i), body).alias(f"h{i + 1}") for i in range(2)]
-    occurrence = stored(split.select("row_key", "line", *names, F.when(n >= near_words, halves).alias("halves")), "occurrences")
-    lines = occurrence.groupBy("h1", "h2").agg(F.min(F.struct("row_key", "line")).alias("first"), F.first("halves").alias("halves"))
-    lines = stored(lines, "lines")
-    near = _near(lines, docs).withColumn("near", F.lit(True))
+    occurrence = stored(split.select(*PLACE, *names, F.when(n >= near_words, halves).alias("halves")), "occurrences")
+    lines = occurrence.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
+    lines = stored(lines.select("h1", "h2", "first.*", "halves", "times"), "lines")
+    release(docs.sparkSession)
+    near = _near(lines, docs)
     # Only lines that repeat, or that are near another, have anything to remove.
-    decided = lines.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    repeats = occurrence.select("row_key", "line", "h1", "h2").join(decided, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("row_key", "line") != F.col("first")))
+    decided = lines.select("h1", "h2", F.struct(*PLACE).alias("first"), "times").join(near.withColumn("near", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
+    decided = decided.filter("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    repeats = possibly_among(occurrence.select(*PLACE, "h1", "h2"), "h1", decided).join(decided.hint("merge"), ["h1", "h2"])
+    repeats = repeats.filter(F.col("near") | (F.struct(*PLACE) != F.col("first")))
     gone = stored(repeats.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+    discard(occurrence, lines, near)
     release(docs.sparkSession)
     return gone
 
@@ -129,24 +140,26 @@ def line_report(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     own, the later ones lose their lines; rows without id come first. Other columns are not read.
     """
     docs = keyed(docs)
-    out = docs.join(repeated_lines(docs, near_words), "row_key", "left")
+    out = docs.join(repeated_lines(docs, near_words).hint("merge"), "row_key", "left")
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     n_removed = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.sha2(_kept("text", "gone"), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """docs with repeated lines taken out of text, with all columns of docs. Documents of which nothing is left go.
+    """docs with repeated lines taken out of text, with all columns of docs. Documents that lose a line and have
+    nothing but white space left go.
 
     A text that loses no line stays as it is, nulls included. Rows with the same doc_id and text share a decision: the
     one of their first.
     """
     own = keyed(docs)
-    gone = repeated_lines(own, near_words).select(F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(own, near_words)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), "text")
     if own_ids(own):
-        out = docs.join(gone, docs["doc_id"] == F.col("_key"), "left")
+        out = rows.join(gone.withColumnRenamed("row_key", "id").hint("merge"), "id", "left")
     else:
-        first = own.groupBy("doc_id", "text").agg(F.min("row_key").alias("_key")).join(gone, "_key").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "_gone")
-        out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left")
-    out = out.withColumn("_left", _kept("text", "_gone")).filter(F.col("_gone").isNull() | (F.trim("_left") != ""))
-    return out.select(*[F.col("_left").alias("text") if c == "text" else docs[c] for c in docs.columns])
+        first = own.groupBy("doc_id", "text").agg(F.min("row_key").alias("row_key")).join(gone, "row_key").select(F.col("doc_id").alias("g_id"), F.col("text").alias("g_text"), "gone")
+        out = rows.join(first, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("text") == F.col("g_text")), "left")
+    out = out.select("row", "gone", _kept("text", "gone").alias("left")).filter(F.col("gone").isNull() | F.col("left").rlike(r"[^ \t\n\x0B\f\r]"))
+    return out.select(*(F.col("left" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
