@@ -8,7 +8,9 @@ them, ordered by (lead, span, document, position), so that even a third of all s
 A bucket sorts by multikey quicksort and compares neighbours:
 
 - of suffixes with equal lead and span all but the first repeat as a whole;
-- the first of each span stays open if its lead has other spans too, or may have them beyond the bucket's boundary.
+- the first of each span stays open if its lead has other spans too, or may have them beyond the bucket's boundary. A
+  window holds the SIDE bytes before its lead or those behind it, so of an open span only the windows of a side stay that
+  another span of the lead has too, by 32 bits of hash each (equal hashes of different bytes only cost a comparison).
 
 Open spans are taken apart into windows, which are dealt and compared in the same way; there the last window of a bucket
 is compared with the first of the next, so no boundary is left. Both hashes together have 128 bits.
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricgraph.llm.common import keyed, parallelism, release, stored
+from metricgraph.llm.common import ROWS, keyed, parallelism, possibly_among, release, stored
 from metricgraph.llm.near import _mix
 
 LENGTH, LEAD = 100, 32
+#: Bytes beside the lead: a window that starts so many bytes before it or more holds those, any other the ones behind it.
+SIDE = (LENGTH - LEAD) // 2
 #: Suffixes of a bucket; documents in the sample that gives the splitters, and suffixes of each; windows at a time.
 BUCKET, SAMPLE_DOCS, SAMPLE_EACH, SEGMENT = 300_000, 1_000, 200, 1 << 22
 LEAD_BASE, SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -72,7 +76,11 @@ def _segments(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def anchored(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(lead, span, lo, n) of each anchor of a piece: its windows start at lo to lo + n - 1."""
+    """(lead, span, lo, n, at, sides) of each anchor of a piece: its windows start at lo to lo + n - 1, its lead at `at`.
+
+    sides holds two 32-bit hashes, of the lead with the SIDE bytes before it and of the lead with those behind it; what
+    would lie outside the piece is left out, and no window needs it.
+    """
     h = _lead_hashes(data)
     width = LENGTH - LEAD + 1
     place = np.arange(len(h), dtype=np.uint64)
@@ -84,8 +92,12 @@ def anchored(data: np.ndarray) -> tuple[np.ndarray, ...]:
     least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(SEGMENT * 4 - 1)
     lo = np.flatnonzero(np.diff(least, prepend=np.uint64(2**63)))
     counts = np.diff(np.append(lo, n))
-    span = _range_hash(_sums(data), lo, lo + counts + LENGTH - 1)
-    return h[least[lo].astype(np.int64)], span, lo, counts
+    sums, at = _sums(data), least[lo].astype(np.int64)
+    span = _range_hash(sums, lo, lo + counts + LENGTH - 1)
+    before = _range_hash(sums, np.maximum(at - SIDE, 0), at + LEAD)
+    behind = _range_hash(sums, at, np.minimum(at + LEAD + SIDE, len(data)))
+    sides = before >> np.uint64(32) << np.uint64(32) | behind >> np.uint64(32)
+    return h[at], span, lo, counts, at, sides
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -157,8 +169,10 @@ class Splitters:
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for batch in batches:
-        yield batch, [np.frombuffer(t.encode(), np.uint8) for t in batch["text"]]
+    for whole in batches:
+        for start in range(0, len(whole), ROWS):  # what is made for a batch can be many times its size
+            batch = whole.iloc[start : start + ROWS]
+            yield batch, [np.frombuffer(t.encode(), np.uint8) for t in batch["text"]]
 
 
 def _frame(parts: list[tuple[int, tuple[np.ndarray, ...]]], names: list[str]) -> pd.DataFrame:
@@ -175,27 +189,28 @@ def _suffixes(docs: DataFrame, splitters: Splitters | None) -> DataFrame:
         for batch, texts in _texts(batches):
             own, inside = [], []
             for key, data in zip(batch["row_key"], texts, strict=True):
-                found = [(lead, span, lo + start, n) for start, piece in _segments(data) for lead, span, lo, n in [anchored(piece)]]
+                found = [(lead, span, lo + start, n, at - lo, sides) for start, piece in _segments(data) for lead, span, lo, n, at, sides in [anchored(piece)]]
                 if not found:
                     continue
-                lead, span, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                lead, span, lo, n, at, sides = (np.concatenate(x) for x in zip(*found, strict=True))
                 first = _first_inside(lead, span)
                 inside.append((key, _runs(lo[~first], n[~first])))
                 step = 1 if splitters else max(1, len(lead) // SAMPLE_EACH)
-                own.append((key, tuple(x[first][::step] for x in (lead, span, lo, n))))
-            out = _frame(own, ["lead", "span", "lo", "n"])
+                own.append((key, tuple(x[first][::step] for x in (lead, span, lo, n, at, sides))))
+            out = _frame(own, ["lead", "span", "lo", "n", "at", "sides"])
             if splitters is None:
                 yield out.assign(bucket=np.int32(0))
                 continue
             yield out.assign(bucket=splitters.bucket([out[c].to_numpy() for c in KEYS]))
-            yield _frame(inside, ["lo", "n"]).assign(bucket=np.int32(-1), lead=0, span=0)
+            yield _frame(inside, ["lo", "n"]).assign(bucket=np.int32(-1), lead=0, span=0, at=0, sides=0)
 
-    return docs.select("row_key", "text").mapInPandas(run, "row_key long, lead long, span long, lo long, n long, bucket int")
+    return docs.select("row_key", "text").mapInPandas(run, "row_key long, lead long, span long, lo long, n long, at int, sides long, bucket int")
 
 
 def _windows(opened: DataFrame, docs: DataFrame, splitters: Splitters | None) -> DataFrame:
     """A row for each window of the open spans, in the form of suffixes: span is the window's hash, n is 1."""
     spans = opened.groupBy("row_key").agg(F.collect_list(F.struct("lead", "lo", "n")).alias("spans"))
+    docs = possibly_among(docs.select("row_key", "text"), "row_key", opened)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, texts in _texts(batches):
@@ -223,7 +238,27 @@ def _windows(opened: DataFrame, docs: DataFrame, splitters: Splitters | None) ->
             yield out.assign(bucket=splitters.bucket([out[c].to_numpy() for c in KEYS]))
             yield _frame(inside, ["lo", "n"]).assign(bucket=np.int32(-1), lead=0, span=0)
 
-    return spans.join(docs, "row_key").select("row_key", "text", "spans").mapInPandas(run, "row_key long, lead long, span long, lo long, n long, bucket int")
+    return docs.join(spans.hint("merge"), "row_key").select("row_key", "text", "spans").mapInPandas(run, "row_key long, lead long, span long, lo long, n long, bucket int")
+
+
+def _open(spans: pd.DataFrame, group: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    """The windows of spans that another span of the same group may have too; at the ends of a bucket all of them.
+
+    Windows that start SIDE bytes before the lead or earlier need another span with the same bytes before it, the
+    others one with the same bytes behind it.
+    """
+    lo, n, at, sides = (spans[c].to_numpy() for c in ("lo", "n", "at", "sides"))
+    early = np.clip(at - SIDE + 1, 0, n)  # so many windows start early enough
+    parts = []
+    for side, start, size in ((sides >> 32, lo, early), (sides & 0xFFFFFFFF, lo + early, n - early)):
+        held = np.flatnonzero(size > 0)
+        order = held[np.lexsort((side[held], group[held]))]
+        twin = np.append(False, (side[order[1:]] == side[order[:-1]]) & (group[order[1:]] == group[order[:-1]])) if len(order) else np.zeros(0, bool)
+        keep = np.zeros(len(lo), bool)
+        keep[order[twin | np.append(twin[1:], False)]] = True
+        keep = (keep | ends) & (size > 0)
+        parts.append(spans[keep].assign(lo=start[keep], n=size[keep]))
+    return pd.concat(parts)
 
 
 def _resolved(suffixes: DataFrame, buckets: int, windows: bool) -> DataFrame:
@@ -251,15 +286,11 @@ def _resolved(suffixes: DataFrame, buckets: int, windows: bool) -> DataFrame:
                 yield part.iloc[[-1]].assign(kind=3)[names]
                 continue
             group = np.cumsum(other) - 1
-            several = np.bincount(group[first]) > 1
-            if bucket > 0:
-                several[0] = True
-            if bucket < buckets - 1:
-                several[-1] = True
-            yield part[first & several[group]].assign(kind=1)[names]
+            ends = (group == 0) & (bucket > 0) | (group == group[-1]) & (bucket < buckets - 1)
+            yield _open(part[first], group[first], ends[first]).assign(kind=1)[names]
 
     at = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("row_key"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    dealt = suffixes.repartitionById(buckets, at).select("bucket", "lead", "span", "row_key", "lo", "n")
+    dealt = suffixes.repartitionById(buckets, at)
     return dealt.mapInPandas(run, "kind int, bucket int, lead long, span long, row_key long, lo long, n long")
 
 
@@ -274,15 +305,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     splitters = Splitters(_suffixes(docs.filter(sampled), None).toPandas(), buckets((size or 0) / 37))
     found = stored(_resolved(_suffixes(docs, splitters), splitters.buckets, False), "suffixes")
+    release(spark)
     opened = found.filter("kind = 1")
     n = opened.agg(F.sum("n")).first()[0] or 0
     inner = Splitters(_windows(opened.filter(sampled), docs.filter(sampled), None).toPandas(), buckets(n))
     more = stored(_resolved(_windows(opened, docs, inner), inner.buckets, True), "windows")
 
+    release(spark)
+
     # The first window of a bucket repeats if the bucket before ends with an equal one.
     last = more.filter("kind = 3").select((F.col("bucket") + 1).alias("bucket"), "lead", "span")
     across = more.filter("kind = 2").join(last, ["bucket", "lead", "span"])
-    release(spark)
     return reduce_union([t.select("row_key", "lo", "n") for t in (found.filter("kind = 0"), more.filter("kind = 0"), across)])
 
 
