@@ -38,6 +38,8 @@ def parallelism(spark: SparkSession) -> int:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row_key): row_key is unique, never null and ordered as (doc_id with nulls first, text).
 
+    doc_id must be an integer; other kinds of ids are for the caller to number.
+
     It is doc_id itself wherever ids are unique and not null, which one small aggregation over the id column finds out.
     Otherwise rows are sorted once and numbered, so that each repeated row remains a document of its own.
     """

@@ -113,25 +113,26 @@ def _benchmark(benchmark: DataFrame, window: int, limit: int) -> Windows | None:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple]]]:
-    """docs with what scanning needs, and a function of a batch that gives (words, hit, items) for each row."""
+    """The rows of docs as structs, with what scanning needs, and a function of a batch that gives (words, hit, items) of each."""
     known = _benchmark(benchmark, window, limit)
+    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     if known is not None:
         held = docs.sparkSession.sparkContext.broadcast(known)
 
         def scanned(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("row").field("text").to_pylist():
                 words = bench_words(text)
                 yield words, *held.value.scan(words)
 
         return docs, scanned
 
     # The hits of a text depend on the text alone, so equal texts are looked up once.
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.sha2("text", 256)).dropDuplicates(["_key"])
-    hits = _joined(texts, benchmark, window)
-    docs = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits, "_key", "left")
+    docs = docs.withColumn("_key", F.sha2(F.coalesce("row.text", F.lit("")), 256))
+    texts = docs.select("_key", F.coalesce("row.text", F.lit("")).alias("text")).dropDuplicates(["_key"])
+    docs = docs.join(_joined(texts, benchmark, window), "_key", "left")
 
     def joined(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("text", "_spans", "_items")), strict=True):
+        for text, spans, items in zip(batch.column("row").field("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("_spans", "_items")), strict=True):
             words = bench_words(text)
             change = np.zeros(len(words) + 1, np.int64)
             for s in spans or ():
@@ -174,15 +175,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     and empty texts have no words, and an empty benchmark hits nothing. Items that repeat a text share its windows; an
     item without id counts as an item named "". Null and repeated doc_ids pass through; other columns are not read.
     """
-    docs, of = _found(docs.select("doc_id", "text"), benchmark, window, limit)
     made = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(made).fields])
+    docs, of = _found(docs.select("doc_id", "text"), benchmark, window, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(words), int(hit.sum()), len(items), _digest(items), bool(hit.any())) for words, hit, items in of(batch)]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("row").field("doc_id"), *columns], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -198,13 +199,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column("text").to_pylist(), []
+            row = batch.column("row")
+            texts, keep = row.field("text").to_pylist(), []
             for i, (words, hit, _) in enumerate(of(batch)):
                 n = int(hit.sum())
                 keep.append(n == 0 or mode == "spans" and n <= max_share * len(words))
                 if n and keep[-1]:
                     texts[i] = without_words(texts[i], hit)
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in schema.names]
+            columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ expression over text statistics, so scoring needs neither Python nor the models.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -91,14 +92,14 @@ class RuleEnsemble:
         stats = statistics(F.col("text"))
         names = list(stats)
         table = stored(docs.select("doc_id", "text").join(chosen, "doc_id").select("label", *(c.cast("double").alias(n) for n, c in stats.items())), "training")
+        n, mean = table.agg(F.count("*"), F.avg("label")).first()
+        if not n or mean in (0.0, 1.0):  # nothing to tell labels apart by
+            mean = min(max(mean, 1e-3), 1 - 1e-3) if n else 0.5
+            return cls(math.log(mean / (1 - mean)), [])
         frame = VectorAssembler(inputCols=names, outputCol="features").transform(table.coalesce(8))
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=10).fit(frame)
         rules = tree_rules(forest.toDebugString, names)
         if not rules:
-            mean = table.agg(F.avg("label")).first()[0]
-            mean = min(max(0.5 if mean is None else mean, 1e-3), 1 - 1e-3)
-            import math
-
             return cls(math.log(mean / (1 - mean)), [])
         held = table.select("label", *(_holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
         frame = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held.coalesce(8))
@@ -107,12 +108,16 @@ class RuleEnsemble:
         return cls(float(model.intercept), [(w, r) for w, r in weighed if abs(w) > 1e-6])
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with score, the probability of label 1, computed from the columns of statistics."""
-        stats = {f"_{n}": c for n, c in statistics(F.col("text")).items()}
+        """docs with score, the probability of label 1, computed from the columns of statistics.
+
+        The other columns of docs travel as one struct, so their names cannot meet those of the statistics; a column
+        named score is replaced.
+        """
         total = F.lit(self.intercept)
         for w, rule in self.rules:
-            total = total + F.when(_holds(tuple(Condition(f"_{c.feature}", c.above, c.value) for c in rule)), w).otherwise(0.0)
-        return docs.withColumns(stats).withColumn("score", 1 / (1 + F.exp(-total))).drop(*stats)
+            total = total + F.when(_holds(rule), w).otherwise(0.0)
+        rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "score")).alias("row"), *(c.alias(n) for n, c in statistics(F.col("text")).items()))
+        return rows.select("row.*", (1 / (1 + F.exp(-total))).alias("score"))
 
 
 def _holds(rule: Rule) -> Column:
@@ -130,7 +135,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """doc_id, held_out, score, predicted, one row for each row of docs(doc_id, text); labels has (doc_id, quality).
 
     held_out says that crc32(doc_id as text) mod 5 is 0: labels of those rows are never learnt from. A null text counts
-    as empty and is scored like one. A null doc_id is not held out. Without labels every score is 0.5. Only the text
+    as empty and is scored like one. A null doc_id is not held out. Without labels every score is 0.5, and with
+    labels of one sort alone every score is 0.001 or 0.999. Only the text
     enters a score; other columns are not read.
     """
     out = RuleEnsemble.fit(docs, labels).score(docs.select("doc_id", "text"))

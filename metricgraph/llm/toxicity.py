@@ -1,8 +1,7 @@
 """op8: toxicity by a classifier chain.
 
-The labelled rows say only whether a text is toxic. A category is a toxic text with one of the category's seed words, so
-categories are learnt from labels and texts together. The chain predicts insults, then contempt, then toxicity at all;
-each later linear model also gets the probabilities of the categories before it. In training those are out-of-fold
+The labelled rows say only whether a text is toxic. Kinds of toxicity are clusters of the toxic training texts by the words
+they hold, so no word list is given. The chain predicts one kind, then the other, then toxicity at all; each later linear model also gets the probabilities of the categories before it. In training those are out-of-fold
 predictions: a row's probability comes from models that were fitted without the row's fold.
 
 Features are the words and word beginnings that set labelled toxic texts apart from the others, found by counts over the
@@ -14,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from metricgraph.llm.common import stored
 
-#: Seed words of the categories.
-SEEDS = {
-    "insult": ["idiot", "loser", "moron", "clown", "scum"],
-    "contempt": ["stupid", "worthless", "pathetic", "disgusting", "trash"],
-}
-CHAIN = ("insult", "contempt", "toxic")
+#: The chain in its order: kinds of toxicity found in the training texts, and toxicity itself.
+KINDS = ("kind_1", "kind_2")
+CHAIN = (*KINDS, "toxic")
+#: Of the clustering.
+SEED = 7
 #: Bounds of the fit: labelled rows that it sees, words that it keeps, documents in which a kept word occurs at least.
 MAX_ROWS, MAX_WORDS, MIN_DOCS, FOLDS = 20_000, 1_000, 5, 3
 #: Lengths of the word beginnings.
@@ -66,20 +65,24 @@ class ToxicityChain:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityChain:
-        """Fit on the rows of docs with a label, at most about max_rows of them, chosen by a hash of doc_id."""
+        """Fit on the rows of docs with a label, at most about max_rows of them, chosen by a hash of doc_id.
+
+        Where labels do not tell toxic rows from others (none of the one or of the other), the chain has no models.
+        """
         labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         share = min(1.0, max_rows / max(1, labels.count()))
         chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
         training = _words(docs.select("doc_id", "text").join(chosen, "doc_id"), "words")
         training = training.withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)))
-        for name, seeds in SEEDS.items():
-            training = training.withColumn(name, F.when((F.col("toxic") == 1) & F.arrays_overlap("words", F.array(*map(F.lit, seeds))), 1).otherwise(0))
-        training = training.select("doc_id", "fold", *CHAIN, F.array_distinct("words").alias("words"))
+        training = training.select("doc_id", "fold", "toxic", F.array_distinct("words").alias("words"))
         training = stored(training, "training")
-        words = _vocabulary(training) or ["-"]
-        known = F.array(*map(F.lit, words))
-        table = stored(training.select("doc_id", "fold", *CHAIN, F.array_intersect("words", known).alias("words")), "training")
-        frame = _vectors(table.coalesce(TASKS), words)
+        known = training.agg(F.count_distinct("toxic")).first()[0]
+        words = _vocabulary(training) if known == 2 else []
+        if not words:
+            return cls([], [])
+        shared = F.array(*map(F.lit, words))
+        table = stored(training.select("doc_id", "fold", F.col("toxic").cast("int").alias("toxic"), F.array_intersect("words", shared).alias("words")), "training")
+        frame = _kinds(_vectors(table.coalesce(TASKS), words))
         models = []
         for i, name in enumerate(CHAIN):
             features = [f"p_{c}" for c in CHAIN[:i]]
@@ -95,16 +98,28 @@ class ToxicityChain:
         return cls(words, models)
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with p_insult, p_contempt and p_toxic. A null or empty text has no words and is scored as such.
+        """docs with the probabilities p_kind_1, p_kind_2 and p_toxic. A null or empty text has no words and is scored as such.
 
-        The columns of docs travel as one struct, so their names cannot meet those of the steps.
+        Without models every probability is 0: nothing is called toxic that no label tells about. The columns of docs travel as one struct, so their names cannot meet those of the steps.
         """
+        if not self.models:
+            return docs.select("*", *(F.lit(0.0).alias(f"p_{c}") for c in CHAIN))
         frame = _vectors(_words(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "text"), "words"), self.words)
         for i, (name, model) in enumerate(zip(CHAIN, self.models, strict=True)):
             frame = _scored(model, _assembled(frame, [f"p_{c}" for c in CHAIN[:i]]), f"p_{name}").drop("features")
         return frame.select("_row.*", *(f"p_{c}" for c in CHAIN))
 
 
+def _kinds(frame: DataFrame) -> DataFrame:
+    """frame with a 0/1 column for each kind: to which cluster of toxic rows a toxic row belongs."""
+    toxic = frame.filter("toxic = 1")
+    if toxic.count() <= len(KINDS):
+        return frame.withColumns({k: F.lit(0) if i else F.col("toxic") for i, k in enumerate(KINDS)})
+    model = KMeans(k=len(KINDS), seed=SEED, featuresCol="counts", predictionCol="cluster").fit(toxic)
+    told = model.transform(frame)
+    return told.withColumns({k: ((F.col("toxic") == 1) & (F.col("cluster") == i)).cast("int") for i, k in enumerate(KINDS)}).drop("cluster")
+
+
 def _vectors(frame: DataFrame, words: list[str]) -> DataFrame:
     model = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="counts", minTF=1.0)
     return model.setBinary(True).transform(frame).drop("words")
@@ -124,10 +139,10 @@ def _scored(model: LogisticRegressionModel, frame: DataFrame, column: str) -> Da
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, toxic (p_toxic >= threshold), one row for each row of docs(doc_id, text).
+    """doc_id, p_kind_1, p_kind_2, p_toxic, toxic (p_toxic >= threshold), one row for each row of docs(doc_id, text).
 
-    labels has (doc_id, toxic); rows without either are left out of the fit, and without any labelled document the
-    chain cannot be fitted. Null and repeated doc_ids pass through; other columns are not read.
+    labels has (doc_id, toxic); rows without either are left out of the fit. Unless there are labelled documents of both
+    sorts, every probability is 0 and nothing is toxic. Null and repeated doc_ids pass through; other columns are not read.
     """
     scored = ToxicityChain.fit(docs, labels).score(docs.select("doc_id", "text"))
     return scored.select("doc_id", *(f"p_{c}" for c in CHAIN), (F.col("p_toxic") >= threshold).alias("toxic"))
