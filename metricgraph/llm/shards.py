@@ -2,7 +2,7 @@
 
 A shard file is a run of blocks, an index, a Bloom filter and a footer, all little-endian:
 
-    block   entries, deflated. entry: shared u16, rest u16, n u32, the key's last `rest` bytes, n ids as u16 or u32
+    block   size of the entries u32, the entries compressed as zstd. entry: shared u16, rest u16, n u32, the key's last `rest` bytes, n ids as u16 or u32
             (the key's first `shared` bytes are those of the key before it; the first entry of a block shares none)
     index   for each block: size of its first key u16, the key, offset u64, size u32, ids before it in the shard u64
     bloom   bits of a filter over all keys, BLOOM_HASHES positions for each
@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,14 @@ from pyspark.sql import functions as F
 
 from metricgraph.llm.common import END_ID, parallelism, shared_folder, stored
 from metricgraph.llm.ranges import part_of, row_splitters
-from metricgraph.llm.tokens import Encoder
-from metricgraph.llm.wordbpe import Vocabulary, vocabulary
+from metricgraph.llm.tokens import worker_encoder
+from metricgraph.llm.wordbpe import END, Vocabulary, vocabulary
 
-MAGIC = b"SSTIDS01"
+MAGIC = b"SSTIDS02"
 FOOTER = struct.Struct("<7QB7x8s")
 ENTRY = struct.Struct("<HHI")
 BLOCK_BYTES = 128 * 1024
+ZSTD = pa.Codec("zstd", 1)
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MANIFEST = "part int, path string, first_key long, last_key long, n_docs long, n_ids long"
 
@@ -100,7 +102,8 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            data = zlib.compress(b"".join(self.block), 1)
+            data = b"".join(self.block)
+            data = struct.pack("<I", len(data)) + ZSTD.compress(data, asbytes=True)
             self.index.append(struct.pack("<H", len(self.first)) + self.first + struct.pack("<QIQ", self.offset, len(data), self.before))
             self.out.write(data)
             self.offset += len(data)
@@ -142,7 +145,8 @@ class ShardReader:
     def block(self, i: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc_id, ids before it in the shard, ids) of a block's entries."""
         _, offset, size, before = self.index[i]
-        data, p, key = zlib.decompress(self._read(offset, size)), 0, b""
+        data, p, key = self._read(offset, size), 0, b""
+        data = ZSTD.decompress(data[4:], struct.unpack_from("<I", data)[0], asbytes=True)
         while p < len(data):
             shared, rest, n = ENTRY.unpack_from(data, p)
             p += ENTRY.size
@@ -178,30 +182,38 @@ class ShardReader:
 
 
 def library_chunks(v: Vocabulary, chunks: list[str]) -> list[bytes]:
-    """Ids of each chunk by the tokenizers library, a few thousand chunks in one call as words that are already apart."""
+    """Ids of each chunk by the tokenizers library, which gets each distinct word once, a few thousand words as one text.
+
+    White space ends words, and only the last token of a word has the end mark, so ids are dealt to words by it. Exact
+    pieces (of chunks that begin with a space) may hold anything and go to the library as single words.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
-    tokenizer = _tokenizer(v.path)
-    out: list[bytes] = []
-    for i in range(0, len(chunks), 4096):
-        some = chunks[i : i + 4096]
-        made = tokenizer.encode([c.removeprefix(" ") for c in some], is_pretokenized=True, add_special_tokens=False)
-        data = np.array(made.ids, "<u4").tobytes()
-        cut = (4 * np.searchsorted(np.array(made.word_ids), np.arange(len(some) + 1))).tolist()
-        out += [data[s:e] for s, e in zip(cut, cut[1:], strict=False)]
-    special = {f" {w}": np.array([i], "<u4").tobytes() for w, i in v.special.items()}
-    return [special.get(c, ids) if c[0] == " " else ids for c, ids in zip(chunks, out, strict=True)]
+    tokenizer, ends = _tokenizer(v.path)
+    exact = {f" {w}": np.array([i], "<u4").tobytes() for w, i in v.special.items()}
+    for c in chunks:
+        if c[0] == " " and c not in exact:
+            exact[c] = np.array(tokenizer.encode([c[1:]], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
+    cut = [(c,) if c[0] == " " else v.pieces(c) for c in chunks]
+    words = list({w for pieces in cut for w in pieces if w[0] != " "})
+    parts = [words[i : i + 2048] for i in range(0, len(words), 2048)]
+    ids = exact
+    for part, made in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        found = np.array(made.ids, "<u4")
+        data, stops = found.tobytes(), (4 * (np.flatnonzero(ends[found]) + 1)).tolist()
+        ids.update(zip(part, (data[s:e] for s, e in zip([0, *stops], stops, strict=False)), strict=True))
+    return [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in cut]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):  # noqa: ANN202
-    """The library's tokenizer for single chunks: special strings have been cut out before."""
+def _tokenizer(path: str) -> tuple:
+    """The library's tokenizer for chunks, special strings having been cut out before; and which ids end a word."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
-    return tokenizer
+    return tokenizer, np.array([t.endswith(END) for t in vocabulary(path).tokens])
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, parts: int | None = None) -> DataFrame:
@@ -215,7 +227,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
     tops = row_splitters(docs, "key", parts or parallelism(docs.sparkSession))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, library_chunks, decoded=False)
+        encoder = worker_encoder(path, library_chunks, False)
         wide = 2 if max(len(vocabulary(path).tokens) - 1, end_id or 0) < 2**16 else 4
         writer, row = None, []
         for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from metricgraph.llm.common import map_texts
-from metricgraph.llm.wordbpe import ChunkIndex, Vocabulary, count_word, encode_words, vocabulary
+from metricgraph.llm.wordbpe import Vocabulary, count_word, encode_words, vocabulary
 
-#: A worker's tables of distinct chunks are emptied beyond this many of them, and words are merged once about this many
-#: characters of text have come in. Both only bound memory; results do not depend on them.
+#: Beyond this many distinct chunks a worker forgets rare ones, and words are merged once about this many characters of text
+#: have come in. Both only bound memory; results do not depend on them.
 MAX_CHUNKS = 400_000
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 6_000_000
 
 
 def _chunks(texts: list[str]) -> Iterator[range]:
@@ -55,29 +55,80 @@ class _WordCounts(dict):
         return sum(map(self.__getitem__, self.v.pieces(chunk)))
 
 
+class _Memory:
+    """What is known of distinct chunks; each new one is worked out once, together with the others of some texts.
+
+    Beyond MAX_CHUNKS those are forgotten that only one lot of texts has held, or if others fill half of it, all but the last.
+    """
+
+    def __init__(self, v: Vocabulary, work: Callable[[list[str]], list]):
+        self.v, self.work, self.known, self.again = v, work, {}, set()
+
+    def __call__(self, texts: list[str]) -> Iterator[list[str]]:
+        """The chunks of each text, all of them known."""
+        for some in _chunks(texts):
+            used = [self.v.chunks(texts[i]) for i in some]
+            present = set().union(*used)
+            new = present.difference(self.known)
+            self.again |= present - new
+            if len(self.known) + len(new) > MAX_CHUNKS:
+                if len(self.again) > MAX_CHUNKS // 2:
+                    self.again = present - new
+                self.known = {c: self.known[c] for c in self.again}
+            new = list(new)
+            self.known.update(zip(new, self.work(new), strict=True))
+            yield from used
+
+
 class Encoder:
     """Encodes batches of texts; remembers the ids and token strings of chunks."""
 
     def __init__(self, path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True):
         self.v, self.encode, self.decoded = vocabulary(path), encode, decoded
-        self.clear()
+        self.memory = _Memory(self.v, self._work)
 
-    def clear(self) -> None:
-        self.index, self.ids, self.strings = ChunkIndex(), [], []
+    def _work(self, chunks: list[str]) -> list:
+        ids = self.encode(self.v, chunks)
+        if not self.decoded:
+            return ids
+        return [(i, " ".join(map(self.v.tokens.__getitem__, np.frombuffer(i, "<u4").tolist()))) for i in ids]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        for chunk in _chunks(texts):
-            if len(self.index) > MAX_CHUNKS:
-                self.clear()
-            used = [self.index.of(self.v.chunks(texts[i])) for i in chunk]
-            fresh = self.encode(self.v, list(islice(self.index, len(self.ids), None)))
-            self.ids += fresh
+        for chunks in self.memory(texts):
+            found = map(self.memory.known.__getitem__, chunks)
             if self.decoded:
-                self.strings += [" ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in fresh]
-            for u in used:
-                u = u.tolist()
-                yield b"".join(map(self.ids.__getitem__, u)), " ".join(map(self.strings.__getitem__, u)) if self.decoded else ""
+                ids, strings = zip(*found, strict=True) if chunks else ((), ())
+                yield b"".join(ids), " ".join(strings)
+            else:
+                yield b"".join(found), ""
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True) -> Encoder:
+    """The encoder of this Python worker: what it remembers serves all tasks that the worker gets."""
+    return Encoder(path, encode, decoded)
+
+
+class Counter:
+    """Counts the tokens of batches of texts; remembers the counts of chunks."""
+
+    def __init__(self, path: str):
+        self.v = vocabulary(path)
+        self.memory = _Memory(self.v, self._work)
+
+    def _work(self, chunks: list[str]) -> list[int]:
+        words = _WordCounts(self.v)
+        return [words.chunk(c) for c in chunks]
+
+    def __call__(self, texts: list[str]) -> Iterator[int]:
+        return (sum(map(self.memory.known.__getitem__, chunks)) for chunks in self.memory(texts))
+
+
+@lru_cache(maxsize=2)
+def worker_counter(path: str) -> Counter:
+    """The counter of this Python worker."""
+    return Counter(path)
 
 
 def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
@@ -90,7 +141,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """
 
     def start() -> Callable[[list[str]], list[tuple]]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
 
         def of(texts: list[str]) -> list[tuple]:
             if digests:
@@ -122,23 +173,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def start() -> Callable[[list[str]], list[tuple]]:
-        v = vocabulary(path)
-        index, counts, words = ChunkIndex(), np.zeros(0, np.int64), _WordCounts(v)
-
-        def of(texts: list[str]) -> list[tuple]:
-            nonlocal index, counts, words
-            rows = []
-            for chunk in _chunks(texts):
-                if len(index) > MAX_CHUNKS:
-                    index, counts, words = ChunkIndex(), np.zeros(0, np.int64), _WordCounts(v)
-                used = [index.of(v.chunks(texts[i])) for i in chunk]
-                fresh = islice(index, len(counts), None)
-                counts = np.append(counts, [words.chunk(c) for c in fresh]).astype(np.int64)
-                for i, u in zip(chunk, used, strict=True):
-                    n = int(counts[u].sum())
-                    rows.append((len(texts[i].encode()), n, n > limit))
-            return rows
-
-        return of
+        count = worker_counter(path)
+        return lambda texts: [(len(t.encode()), n, n > limit) for t, n in zip(texts, count(texts), strict=True)]
 
     return map_texts(docs, start, "n_bytes long, n_tokens long, over_limit boolean")

@@ -20,21 +20,37 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 END = "</w>"
 #: Characters that Python's split() takes for white space and the vocabulary doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+BEYOND_BMP = re.compile("[\U00010000-\U0010ffff]")
 
 
 @lru_cache(maxsize=1)
-def _newer() -> re.Pattern:
-    """Characters that this Python's tables do not hold yet but that the regex module calls letters or numbers."""
+def _newer() -> tuple[re.Pattern, re.Pattern]:
+    """Characters that this Python's tables do not hold yet but that the regex module calls letters or numbers.
+
+    Two patterns, up to U+FFFF and beyond: the first is one table lookup for each character.
+    """
     named = regex.compile(r"[\p{L}\p{N}]")
-    ranges: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c)):
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    found = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c))]
+    ranges = ([], [])
+    for c in found:
+        own: list[list[int]] = ranges[c > 0xFFFF]
+        if own and own[-1][1] == c - 1:
+            own[-1][1] = c
+        else:
+            own.append([c, c])
+    return tuple(re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own) + "]" if own else "(?!)") for own in ranges)
+
+
+def _has_newer(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        low, high = _newer()
+        return bool(low.search(text) or BEYOND_BMP.search(text) and high.search(text))
 
 
 def byte_symbols() -> list[str]:
@@ -100,7 +116,7 @@ class Vocabulary:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if SEPARATORS.search(text) or not text.isascii() and _newer().search(text):  # the library's tables decide
+        if any(c in text for c in SEPARATORS) or _has_newer(text):  # the library's tables decide
             if self._library is None:
                 from tokenizers import Tokenizer
 
@@ -115,6 +131,8 @@ class Vocabulary:
         """The words of a chunk."""
         if chunk[0] == " ":
             return [chunk[1:]]
+        if chunk.isalpha():  # letters alone are one word
+            return [chunk]
         return (ASCII_WORDS if chunk.isascii() else WORDS).findall(chunk)
 
 
@@ -217,14 +235,3 @@ def count_word(v: Vocabulary, word: str) -> int:
         if h >= 0 and (q := ranks.get(symbol[h] << 32 | symbol[i])) is not None:
             heapq.heappush(heap, (q, h))
     return n - merges
-
-
-class ChunkIndex(dict):
-    """Numbers distinct chunks in the order of their first use."""
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = at = len(self)
-        return at
-
-    def of(self, chunks: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chunks), np.int32, len(chunks))
