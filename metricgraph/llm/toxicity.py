@@ -47,14 +47,24 @@ def _words(docs: DataFrame, column: str) -> DataFrame:
 
 
 def _vocabulary(training: DataFrame) -> list[str]:
-    """The words whose smoothed log odds between toxic and other training texts are largest in standard deviations."""
+    """The words that tell toxic training texts from the others best, by the log-likelihood ratio of their counts.
+
+    (Log odds in standard deviations would rank a word that only toxic texts hold below common words that lean their way.)
+    """
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    all1, all0 = sizes.get(1, 0), sizes.get(0, 0)
     words = training.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
-    words = words.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("n1"), F.sum(1 - F.col("toxic").cast("long")).alias("n0")).filter(F.col("n1") + F.col("n0") >= MIN_DOCS)
-    p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
-    odds = F.log(p1 / p0) / F.sqrt(1.0 / (F.col("n1") + 0.5) + 1.0 / (F.col("n0") + 0.5))
-    return [r["word"] for r in words.orderBy(F.abs(odds).desc(), "word").limit(MAX_WORDS).collect()]
+    words = words.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("n1"), F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
+
+    def term(found: Column, total: Column) -> Column:
+        """The part of one kind of text: those with the word and those without, against what their share would be."""
+        out = F.lit(0.0)
+        for own, both in ((found, F.col("n")), (total - found, all1 + all0 - F.col("n"))):
+            out = out + F.when(own > 0, own * F.log(own * (all1 + all0) / (total * both))).otherwise(0.0)
+        return out
+
+    ratio = term(F.col("n1"), F.lit(all1)) + term(F.col("n") - F.col("n1"), F.lit(all0))
+    return [r["word"] for r in words.orderBy(ratio.desc(), "word").limit(MAX_WORDS).collect()]
 
 
 class ToxicityChain:
