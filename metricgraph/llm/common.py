@@ -16,7 +16,7 @@ from metricgraph.functions.storage import discard, possibly_among, release, shar
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Rows that a task works on at a time.
-ROWS = 2_000
+ROWS = 1_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -77,31 +77,25 @@ class _Memory:
                 self.known = {c: self.known[c] for c in self.again}
             new = list(new)
             self.known.update(zip(new, self.work(new), strict=True))
-            yield from used
+            while used:  # what has been given is let go
+                yield used.pop(0)
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids and token strings of chunks."""
+    """Encodes batches of texts; remembers the ids of chunks."""
 
     def __init__(self, path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True):
         self.v, self.encode, self.decoded = vocabulary(path), encode, decoded
         self.memory = _Memory(self.v, self._work)
 
-    def _work(self, chunks: list[str]) -> list:
-        ids = self.encode(self.v, chunks)
-        if not self.decoded:
-            return ids
-        return [(i, " ".join(map(self.v.tokens.__getitem__, np.frombuffer(i, "<u4").tolist()))) for i in ids]
+    def _work(self, chunks: list[str]) -> list[bytes]:
+        return self.encode(self.v, chunks)
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         for chunks in self.memory(texts):
-            found = map(self.memory.known.__getitem__, chunks)
-            if self.decoded:
-                ids, strings = zip(*found, strict=True) if chunks else ((), ())
-                yield b"".join(ids), " ".join(strings)
-            else:
-                yield b"".join(found), ""
+            ids = b"".join(map(self.memory.known.__getitem__, chunks))
+            yield ids, " ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if self.decoded else ""
 
 
 @lru_cache(maxsize=2)
