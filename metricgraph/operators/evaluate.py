@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, euclidean, sigmoid
+from metricgraph.functions.blocks import pair_sums
 from metricgraph.functions.running import running_sums
 from metricgraph.functions.storage import stored
 
@@ -27,12 +30,8 @@ def structural_errors(latent: DataFrame, edges: DataFrame) -> DataFrame:
     latent(node_id, z) is met block by block and summed in the same stage, so no pair is written. The sum of squares over
     all pairs is corrected at the edges: (a - s)^2 = s^2 + a (a - 2 s).
     """
-    blocks = max(1, int(int(latent.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = latent.select(F.col("node_id").alias("i"), F.col("z").alias("a"), own.alias("x"), spread.alias("y"))
-    right = latent.select(F.col("z").alias("b"), own.alias("y"), spread.alias("x"))
+    whole = pair_sums(latent, lambda x: (1.0 + np.exp(-x)) ** -2.0).select(F.col("node_id").alias("i"), F.col("value").alias("all"))
     s = sigmoid(dot(F.col("a"), F.col("b")))
-    whole = left.join(right, ["x", "y"]).groupBy("i").agg(F.sum(s * s).alias("all"))
     counts = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     at = counts.join(latent.select(F.col("node_id").alias("src"), F.col("z").alias("a")), "src").join(latent.select(F.col("node_id").alias("dst"), F.col("z").alias("b")), "dst")
     edge_part = at.groupBy(F.col("src").alias("i")).agg(F.sum(F.col("w") * (F.col("w") - 2.0 * s)).alias("at_edges"))
@@ -110,10 +109,19 @@ def top_k_report(scores: DataFrame, k: int) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, share: float = 0.7, seed: int = 0) -> DataFrame:
-    """rows(node_id, label, ..) with train: of each label, the first share of the rows in hash order."""
-    by = f"partition by label order by xxhash64(node_id, {int(seed)}), node_id"
-    ranked = rows.selectExpr("*", f"row_number() over ({by}) as _r", "count(*) over (partition by label) as _n")
-    return ranked.withColumn("train", F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
+    """rows(node_id, label, ..) with train: of each label, the first share of the rows in hash order.
+
+    Rows are numbered inside ranges of their hash; a range adds what the ranges before it hold of the label, so one label
+    may have any share of the rows. The counts are a row for each label and range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = rows.withColumn("_h", F.xxhash64("node_id", F.lit(int(seed)))).repartitionByRange(parts, "_h", "node_id")
+    ranged = stored(hashed.withColumn("_part", F.spark_partition_id()), "split")
+    counts = ranged.groupBy("label", "_part").agg(F.count("*").alias("_own"))
+    before = counts.selectExpr("label as _label", "_part as _range", "sum(_own) over (partition by label order by _part) - _own as _before", "sum(_own) over (partition by label) as _n")
+    ranked = ranged.selectExpr("*", "row_number() over (partition by label, _part order by _h, node_id) as _r")
+    both = ranked.join(F.broadcast(before), F.col("label").eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_range")))
+    return both.select(*rows.columns, (F.col("_r") + F.col("_before") <= F.floor(F.col("_n") * share)).alias("train"))
 
 
 def balanced_logistic(rows: DataFrame, reg: float = 0.01) -> DataFrame:
@@ -230,8 +238,21 @@ def correlation_entries(rows: DataFrame) -> DataFrame:
     """
     x = rows.select("node_id", F.posexplode("features").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     single = x.groupBy("d").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    product = rows.select(F.col("features").alias("f"), F.posexplode("features").alias("row", "a")).select("row", F.col("a").cast("double").alias("a"), F.posexplode(F.slice("f", F.lit(1), F.col("row"))).alias("col", "b"))
-    mean = product.groupBy("row", "col").agg(F.avg(F.col("a") * F.col("b")).alias("ab"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, seen = None, None
+        for batch in batches:
+            if len(batch):
+                f = np.stack(batch["f"]).astype(float)
+                there, f = (~np.isnan(f)).astype(float), np.nan_to_num(f)
+                whole, seen = (f.T @ f, there.T @ there) if whole is None else (whole + f.T @ f, seen + there.T @ there)
+        if whole is not None:
+            row, col = np.tril_indices(len(whole), -1)
+            yield pd.DataFrame({"row": row, "col": col, "ab": whole[row, col], "n": seen[row, col]})
+
+    # One matrix of sums for each task, and not a row for each pair of positions of each node.
+    parts = rows.filter("features is not null").select(F.transform("features", lambda v: v.cast("double")).alias("f")).mapInPandas(products, "row int, col int, ab double, n double")
+    mean = parts.groupBy("row", "col").agg(F.try_divide(F.sum("ab"), F.sum("n")).alias("ab"))
     out = mean.join(F.broadcast(single.selectExpr("d as row", "m as m1", "s as s1")), "row").join(F.broadcast(single.selectExpr("d as col", "m as m2", "s as s2")), "col")
     return out.select("row", "col", F.try_divide(F.col("ab") - F.col("m1") * F.col("m2"), F.col("s1") * F.col("s2")).alias("value"))
 

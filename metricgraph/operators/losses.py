@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, mean, softplus, squared_deviation, total
+from metricgraph.functions.blocks import pair_sums
 
 
 def kl_divergence(rows: DataFrame) -> DataFrame:
@@ -49,12 +51,8 @@ def adjacency_bce(latent: DataFrame, edges: DataFrame, pos_weight: float = 1.0,
     -a pos_weight log p - (1 - a) log (1 - p) = softplus(x) + a (pos_weight softplus(-x) - softplus(x)).
     """
     n = latent.count()
-    blocks = max(1, int(int(latent.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = latent.select(F.col("z").alias("a"), own.alias("x"), spread.alias("y"))
-    right = latent.select(F.col("z").alias("b"), own.alias("y"), spread.alias("x"))
     logit = dot(F.col("a"), F.col("b"))
-    whole = left.join(right, ["x", "y"]).agg(F.sum(softplus(logit)).alias("whole"))
+    whole = pair_sums(latent, lambda x: np.logaddexp(0.0, x)).agg(F.sum("value").alias("whole"))
     at = edges.select("src", "dst", "weight").join(latent.selectExpr("node_id as src", "z as a"), "src").join(latent.selectExpr("node_id as dst", "z as b"), "dst")
     part = at.agg(F.coalesce(F.sum(F.col("weight") * (pos_weight * softplus(-logit) - softplus(logit))), F.lit(0.0)).alias("part"))
     return whole.crossJoin(part).select((norm * (F.col("whole") + F.col("part")) / float(n * n)).alias("loss"))
