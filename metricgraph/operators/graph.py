@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.storage import discard, stored
+from metricgraph.operators.distance import all_pairs
 
 
 def edges_from_matrix(coo: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def complete_edges(nodes: DataFrame, max_nodes: int = 5_000, force: bool = False
     n = nodes.count()
     if n > max_nodes and not force:
         raise ValueError(f"a complete edge set over {n} nodes has {n * (n - 1)} rows; pass force=True to make it")
-    other = nodes.select(F.col("node_id").alias("dst"))
-    return nodes.select(F.col("node_id").alias("src")).join(F.broadcast(other) if n <= max_nodes else other, F.col("src") != F.col("dst")).withColumn("weight", F.lit(1.0))
+    pairs = all_pairs(nodes.select(F.col("node_id").alias("id"), F.lit(None).alias("coord")), force=True)
+    ends = F.explode(F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst")), F.struct(F.col("j").alias("src"), F.col("i").alias("dst"))))
+    return pairs.select(ends.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
 
 
 def loop_edges(nodes: DataFrame) -> DataFrame:

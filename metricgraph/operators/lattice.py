@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import Metric, coords, euclidean, flat, quadratic
+from metricgraph.operators.distance import all_pairs, pair_distances, straight_line
 from metricgraph.operators.field import Bounds, within
 from metricgraph.operators.paths import measure_paths, shortest_paths, walk_paths
 
@@ -52,7 +53,7 @@ def full_edges(nodes: DataFrame, max_nodes: int = 3_000, force: bool = False) ->
     n = nodes.count()
     if n > max_nodes and not force:
         raise ValueError(f"{n} nodes have {n * (n - 1) // 2} pairs; pass force=True to make them all")
-    return nodes.selectExpr("cell as src").join(nodes.selectExpr("cell as dst"), F.col("src") < F.col("dst"))
+    return all_pairs(nodes.select(F.col("cell").alias("id"), F.lit(None).alias("coord")), force=True).selectExpr("i as src", "j as dst")
 
 
 def weigh_edges(edges: DataFrame, positions: DataFrame, metric: Metric, kind: str = "geodesic", dims: int = 2) -> DataFrame:
@@ -82,7 +83,9 @@ def attach_queries(nodes: DataFrame, queries: DataFrame, bounds: Bounds, grid: i
     """(src, dst) that tie queries(id, coord) to the lattice and to each other; query ids come after the cells.
 
     A query is linked with the nearest 8 nodes within twice the mean step, or with the nearest 8 at all if none is that
-    near; queries within 1.5 mean steps are linked. Nodes are found over cells as wide as the radius, by an equi-join.
+    near; queries within 1.5 mean steps are linked. Nodes are found over cells as wide as the radius, by an equi-join. For
+    a query without a node in reach the nearest are looked up by their cell: they lie, axis by axis, among the `nearest`
+    coordinates next to the query's own, so the nodes of a whole lattice are expected.
     """
     dims, base = len(bounds), (grid + 1) ** len(bounds)
     step = sum((hi - lo) / grid for lo, hi in bounds) / dims
@@ -92,8 +95,13 @@ def attach_queries(nodes: DataFrame, queries: DataFrame, bounds: Bounds, grid: i
     q = queries.select("id", F.col("coord").alias("a"), cell.alias("c"), steps.alias("o")).select("id", "a", F.zip_with("c", "o", lambda x, y: x + y).alias("c"))
     near = q.join(nodes.select("cell", F.col("coord").alias("b"), cell.alias("c")), "c").select("id", "cell", euclidean(F.col("a"), F.col("b")).alias("dist")).filter(F.col("dist") <= radius)
     alone = queries.join(near.select("id").distinct(), "id", "left_anti")
-    # A query without a node in reach is compared with all nodes: only points outside the box or tiny radii come here.
-    far = alone.select("id", F.col("coord").alias("a")).join(nodes.select("cell", F.col("coord").alias("b")), F.lit(True)).select("id", "cell", euclidean(F.col("a"), F.col("b")).alias("dist"))
+    # Points outside the box or tiny radii come here. One axis after the other, each with at most 2 * nearest + 1 places.
+    around = alone.select("id", F.col("coord").alias("a"), F.lit(0).cast("long").alias("cell"))
+    for d, (lo, hi) in enumerate(bounds):
+        own = F.least(F.greatest(F.round((F.get("a", F.lit(d)) - lo) / ((hi - lo) / grid)), F.lit(0)), F.lit(grid)).cast("long")
+        place = F.explode(F.sequence(F.greatest(own - nearest, F.lit(0)), F.least(own + nearest, F.lit(grid))))
+        around = around.select("id", "a", "cell", place.alias("k")).select("id", "a", (F.col("cell") * (grid + 1) + F.col("k")).alias("cell"))
+    far = around.join(nodes.select("cell", F.col("coord").alias("b")), "cell").select("id", "cell", euclidean(F.col("a"), F.col("b")).alias("dist"))
     ranked = near.union(far).selectExpr("id", "cell", "row_number() over (partition by id order by dist, cell) as r").filter(F.col("r") <= nearest)
     own = ranked.select(F.col("cell").alias("src"), (F.col("id") + base).alias("dst"))
     return own.union(radius_edges(queries, 1.5 * step, dims).select((F.col("src") + base).alias("src"), (F.col("dst") + base).alias("dst")))
@@ -135,8 +143,6 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def path_report(spark: SparkSession, ends: DataFrame, metric: Metric, bounds: Bounds, grid: int, points: int = 50) -> DataFrame:
     """(i, j, lattice_length, euclidean, straight) for all pairs of ends(id, coord)."""
-    from metricgraph.operators.distance import all_pairs, pair_distances, straight_line
-
     pairs = all_pairs(ends, force=True)
     straight = pair_distances(pairs, straight_line(points, bounds), metric, len(bounds)).withColumnRenamed("dist", "straight")
     euclid = pair_distances(pairs, "euclidean", None, len(bounds)).withColumnRenamed("dist", "euclidean")
