@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricgraph.functions.storage import stored
 from metricgraph.operators import diffusion, distance, evaluate, graph, laplacian, lattice
 from metricgraph.plans.registry import query, r6
 from metricgraph.sources import tables
@@ -237,10 +238,11 @@ def heat_times(spark: SparkSession, sf: str) -> DataFrame:
     s = tables.suppliers(spark, sf)
     e = edges(spark, sf)
     lap = laplacian.laplacian(s, e)
-    d = graph.degrees(s, e)
-    size = d.agg(F.sqrt(F.sum("degree")).alias("size"))
-    null = d.crossJoin(F.broadcast(size)).select(F.col("node_id").alias("node"), (F.sqrt("degree") / F.col("size")).alias("value"))
-    largest, smallest = diffusion.lanczos_extremes(lap, [null], steps=8)
+    d = graph.degrees(s, e).filter("degree > 0").join(graph.components(s, e), "node_id")
+    size = d.groupBy("component").agg(F.sqrt(F.sum("degree")).alias("size"))
+    # One null vector for each component; a node without edges has the eigenvalue 1 and none.
+    null = d.join(size, "component").select(F.col("component").alias("part"), F.col("node_id").alias("node"), (F.sqrt("degree") / F.col("size")).alias("value"))
+    largest, smallest = diffusion.lanczos_extremes(lap, stored(null, "null"))
     return diffusion.heat_times(spark, largest, smallest, 10)
 
 
