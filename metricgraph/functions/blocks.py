@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricgraph.functions.storage import stored
+
 #: Rows that a block has on average: two blocks meet in a matrix of ROWS x ROWS doubles, 32 MB, at every size of the table.
 ROWS = 2048
 
@@ -16,18 +18,22 @@ ROWS = 2048
 def pair_sums(latent: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(node_id, value): the sum of of(z_i . z_j) over all j, i itself included, for latent(node_id, z).
 
-    `of` takes and gives a matrix of inner products. Blocks get more, not larger, as the table grows.
+    `of` takes and gives a matrix of inner products. Blocks get more, not larger, as the table grows. The sums are
+    written, so that no reader makes them again.
     """
     blocks = max(1, -(-latent.count() // ROWS))
     rows = latent.select("node_id", F.transform("z", lambda x: x.cast("double")).alias("z"))
-    own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.select("node_id", "z", own.alias("x"), spread.alias("y")), rows.select("z", own.alias("y"), spread.alias("x"))
+    own, spread = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    # A block meets all blocks as rows (side 0) and as columns (side 1).
+    as_row, as_column = F.transform(spread, lambda k: F.struct(F.lit(0).alias("side"), own.alias("x"), k.alias("y"))), F.transform(spread, lambda k: F.struct(F.lit(1).alias("side"), k.alias("x"), own.alias("y")))
+    dealt = rows.select("node_id", "z", F.explode(F.concat(as_row, as_column)).alias("to")).select("node_id", "z", "to.side", "to.x", "to.y")
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(met: pd.DataFrame) -> pd.DataFrame:
+        a, b = met[met["side"] == 0], met[met["side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"node_id": [], "value": []})
+            return pd.DataFrame({"node_id": a["node_id"][:0], "value": np.empty(0)})
         return pd.DataFrame({"node_id": a["node_id"], "value": of(np.stack(a["z"]) @ np.stack(b["z"]).T).sum(1)})
 
     kind = dict(latent.dtypes)["node_id"]
-    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(meet, f"node_id {kind}, value double")
-    return met.groupBy("node_id").agg(F.sum("value").alias("value"))
+    met = dealt.groupBy("x", "y").applyInPandas(meet, f"node_id {kind}, value double")
+    return stored(met.groupBy("node_id").agg(F.sum("value").alias("value")), "sums")
