@@ -112,7 +112,7 @@ def stratified_split(rows: DataFrame, share: float = 0.7, seed: int = 0) -> Data
     """rows(node_id, label, ..) with train: of each label, the first share of the rows in hash order.
 
     Rows are numbered inside ranges of their hash; a range adds what the ranges before it hold of the label, so one label
-    may have any share of the rows. The counts are a row for each label and range.
+    may have any share of the rows. The counts are a row for each label and range. A product such as 90 * 0.7 is 63.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = rows.withColumn("_h", F.xxhash64("node_id", F.lit(int(seed)))).repartitionByRange(parts, "_h", "node_id")
@@ -121,7 +121,7 @@ def stratified_split(rows: DataFrame, share: float = 0.7, seed: int = 0) -> Data
     before = counts.selectExpr("label as _label", "_part as _range", "sum(_own) over (partition by label order by _part) - _own as _before", "sum(_own) over (partition by label) as _n")
     ranked = ranged.selectExpr("*", "row_number() over (partition by label, _part order by _h, node_id) as _r")
     both = ranked.join(F.broadcast(before), F.col("label").eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_range")))
-    return both.select(*rows.columns, (F.col("_r") + F.col("_before") <= F.floor(F.col("_n") * share)).alias("train"))
+    return both.select(*rows.columns, (F.col("_r") + F.col("_before") <= F.floor(F.round(F.col("_n") * share, 9))).alias("train"))
 
 
 def balanced_logistic(rows: DataFrame, reg: float = 0.01) -> DataFrame:

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, sigmoid
 
+#: Centres of a precision model that are broadcast.
+MAX_CENTERS = 10_000
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -209,13 +212,18 @@ def rbf_centers(points: DataFrame, k: int, a: float = 1.0, seed: int = 42) -> Da
     return centers.join(least, "k", "left").select("k", "c", (0.5 * a / (s * s)).alias("lambda"))
 
 
+def _few(centers: DataFrame) -> DataFrame:
+    """centers for a product with points: sent to all tasks up to MAX_CENTERS of them, left to Spark beyond."""
+    return F.broadcast(centers) if centers.limit(MAX_CENTERS + 1).count() <= MAX_CENTERS else centers
+
+
 def precision_field(points: DataFrame, centers: DataFrame, zeta: float = 1e-6) -> DataFrame:
     """(id, d, precision, variance): sum of w exp(-lambda |z - c|^2) + zeta, at least 1e-8, for each output d.
 
-    centers(k, c, lambda, w) are the few rows of a model and are broadcast.
+    centers(k, c, lambda, w) are the rows of a model.
     """
     size = F.aggregate(F.zip_with("coord", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    met = points.select("id", "coord").crossJoin(F.broadcast(centers)).select("id", F.exp(-F.col("lambda") * size).alias("e"), F.posexplode("w").alias("d", "w"))
+    met = points.select("id", "coord").crossJoin(_few(centers)).select("id", F.exp(-F.col("lambda") * size).alias("e"), F.posexplode("w").alias("d", "w"))
     p = met.groupBy("id", "d").agg(F.greatest(F.sum(F.col("w") * F.col("e")) + zeta, F.lit(1e-8)).alias("precision"))
     return p.withColumn("variance", 1.0 / (F.col("precision") + 1e-10))
 
@@ -223,7 +231,7 @@ def precision_field(points: DataFrame, centers: DataFrame, zeta: float = 1e-6) -
 def precision_jacobian(points: DataFrame, centers: DataFrame, zeta: float = 1e-6) -> DataFrame:
     """(id, d, axis, value): derivative of -log(precision) / 2 by each latent axis; 0 where the precision is clamped."""
     size = F.aggregate(F.zip_with("coord", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    met = points.select("id", "coord").crossJoin(F.broadcast(centers)).select("id", "lambda", F.exp(-F.col("lambda") * size).alias("e"), F.zip_with("coord", "c", lambda x, y: x - y).alias("dz"), F.posexplode("w").alias("d", "w"))
+    met = points.select("id", "coord").crossJoin(_few(centers)).select("id", "lambda", F.exp(-F.col("lambda") * size).alias("e"), F.zip_with("coord", "c", lambda x, y: x - y).alias("dz"), F.posexplode("w").alias("d", "w"))
     parts = met.select("id", "d", (F.col("w") * F.col("e")).alias("we"), "lambda", F.posexplode("dz").alias("axis", "x"))
     sums = parts.groupBy("id", "d", "axis").agg((F.sum("we") + zeta).alias("p"), F.sum(-2.0 * F.col("lambda") * F.col("x") * F.col("we")).alias("dp"))
     return sums.select("id", "d", "axis", F.when(F.col("p") > 1e-8, -0.5 * F.col("dp") / F.col("p")).otherwise(0.0).alias("value"))
