@@ -79,4 +79,58 @@ select d.id as doc_id, len(d.w)::bigint as n_words, coalesce(n_hit.n, 0) as n_hi
 from d left join n_hit on n_hit.doc = d.id left join items on items.doc = d.id
 """
 
-ORACLES: dict[str, str] = {"op2_near_duplicates": NEAR, "op3_line_dedup": LINES, "op7_decontaminate": WINDOWS}
+#: The 256 remainders of crc32 by their rule (eight halvings, with the polynomial 0xEDB88320 where a 1 falls out), and the checksum
+#: of each distinct word over its bytes.
+RESAMPLING = f"""
+with d as ({_words("documents", "doc_id")}), b as ({_words("benchmark", "item_id")}),
+remainders as (
+    select list(list_reduce(range(0, 8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n::bigint) order by n) as r
+    from range(0, 256) x(n)
+),
+vocabulary as (select distinct unnest(w) as t from d union select distinct unnest(w) from b),
+bytes as (select t, list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::int, 2))::bigint) as o from vocabulary),
+hashed as (
+    select t, xor(list_reduce(o, lambda c, x: xor(c // 256, r[(xor(c, x) % 256) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket from bytes, remainders
+),
+of_docs as (select bucket, count(*) as s from (select unnest(w) as t from d) join hashed using (t) group by bucket),
+of_items as (select bucket, count(*) as s from (select unnest(w) as t from b) join hashed using (t) group by bucket),
+sums as (select (select coalesce(sum(s), 0) from of_docs)::double as s, (select coalesce(sum(s), 0) from of_items)::double as t),
+gains as (
+    select o.bucket, floor(1000 * ln((coalesce(i.s, 0) + 1) * (sums.s + 10000) / ((o.s + 1) * (sums.t + 10000))))::bigint as gain
+    from of_docs o left join of_items i on i.bucket = o.bucket, sums
+),
+weighed as (select id, sum(gain)::bigint as weight from (select id, unnest(w) as t from d) join hashed using (t) join gains using (bucket) group by id),
+scored as (
+    select d.id as doc_id, len(d.w)::bigint as n_features, coalesce(g.weight, 0) as weight,
+        coalesce(g.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from d left join weighed g on g.id = d.id
+),
+placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_features >= 20) as n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from placed
+"""
+
+PRODUCTS = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+pairs as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+placed as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, rank::int as rank, vec_id, score from placed where rank <= 5
+"""
+
+RANKING = f"""
+with d as ({_words("documents", "doc_id")}), b as ({_words("benchmark", "item_id")}),
+s as (select count(*)::bigint as n, sum(len(w))::bigint as l from d where len(w) > 0),
+asked as (select id as item_id, t, count(*) as c from (select id, unnest(w) as t from b) group by id, t),
+held as (select id as doc_id, n, t, count(*)::bigint as tf from (select id, len(w)::bigint as n, unnest(w) as t from d) where t in (select t from asked) group by id, n, t),
+weights as (select t, floor(1000 * ln((2 * s.n + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from held, s group by t, s.n),
+sums as (
+    select item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * held.n * s.n) // s.l))))::bigint as score
+    from held join asked using (t) join weights using (t), s group by item_id, doc_id
+),
+placed as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from sums where score > 0)
+select item_id, rank::int as rank, doc_id, score from placed where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_near_duplicates": NEAR, "op3_line_dedup": LINES, "op7_decontaminate": WINDOWS, "op11_resampling": RESAMPLING, "op12_top_products": PRODUCTS, "op13_ranked_search": RANKING}

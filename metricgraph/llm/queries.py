@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricgraph.llm import decontaminate, fingerprints, lines, near, quality, shards, suffixes, tokens, toxicity
+from metricgraph.llm import decontaminate, fingerprints, lines, near, products, quality, ranking, resampling, shards, suffixes, tokens, toxicity
 from metricgraph.llm.common import table, vocabulary_path
 
 
@@ -52,4 +52,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_near_duplicates, op3_line_dedup, op4_suffix_dedup, op5_id_shards, op6_fingerprints, op7_decontaminate, op8_toxicity, op9_token_counts, op10_quality)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_near_duplicates, op3_line_dedup, op4_suffix_dedup, op5_id_shards, op6_fingerprints, op7_decontaminate, op8_toxicity, op9_token_counts, op10_quality, op11_resampling, op12_top_products, op13_ranked_search)}
