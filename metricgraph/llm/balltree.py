@@ -82,7 +82,8 @@ class BallTree:
         """(rows, products, leaves looked at): at least all rows that are among the k greatest products and have theta or more.
 
         terms are distinct and ascending, weights non-negative integers; products are integers of 64 bits, made at leaves. A
-        node's bound is query . centroid + |query| radius, rounded up; nodes are taken by descending bound, until no bound
+        node's bound is query . centroid + |query| radius, rounded up, where only terms count that a row below the node has (all
+        values are positive, so these are the terms of the centroid); nodes are taken by descending bound, until no bound
         reaches theta, which grows to the k-th product found.
         """
         place = np.searchsorted(self.terms_met, terms)
@@ -93,11 +94,11 @@ class BallTree:
         exact, near = np.zeros(self.width, np.int64), np.zeros(self.width)
         exact[place[held]] = weights[held]
         near[place[held]] = weights[held] / self.scale[place[held]]
-        size = float(np.sqrt(near @ near))
 
         def bound(node: int) -> float:
             met, centre = self.centre[node]
-            return (float(near[met] @ centre) + size * self.radius[node]) * (1 + SLACK)
+            asked = near[met]
+            return (float(asked @ centre) + float(np.sqrt(asked @ asked)) * self.radius[node]) * (1 + SLACK)
 
         heap, rows, found, looked = [(-bound(0), 0)], np.empty(0, np.int64), np.empty(0, np.int64), 0
         while heap and -heap[0][0] >= theta:
