@@ -6,32 +6,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricgraph.sources.datasource import registered
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, line) with rows numbered from 0 inside each file; empty lines count for nothing.
 
-    A file's lines come in the order of (partition, line in partition): one job counts the lines of each partition, and
-    the numbers are added to that, so no line moves.
-    """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.filter(F.trim("line") != "")
-    order = lines.groupBy("file", F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Lines of format("matrix") with their row in the file: the lines of the ranges before are counted by one small job."""
+    lines = registered(spark).read.format("matrix").options(path=path, **options).load()
+    order = lines.groupBy("file", "part").agg(F.count("*").alias("n"))
     before = order.selectExpr("file", "part", "coalesce(sum(n) over (partition by file order by part rows between unbounded preceding and 1 preceding), 0) as before")
-    inside = lines.withColumn("part", F.shiftright("at", 33)).selectExpr("file", "part", "line", "row_number() over (partition by file, part order by at) - 1 as k")
-    return inside.join(before, ["file", "part"]).select("file", (F.col("before") + F.col("k")).alias("row"), "line")
+    return lines.join(before, ["file", "part"]).withColumn("row", F.col("before") + F.col("line")).drop("part", "line", "before")
 
 
 def read_matrix(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
     """A numeric CSV without header: (coo(file, row, col, value), rejects(file, row, line)).
 
-    A line with anything that is no number goes to the rejects as a whole.
+    path: a file, a folder of parts of one matrix, or a pattern of files. A line with anything that is no number goes to the
+    rejects as a whole. Blank lines count for nothing.
     """
-    lines = _numbered_lines(spark, path)
-    cells = lines.withColumn("cells", F.transform(F.split("line", f"\\Q{delimiter}\\E"), lambda x: F.trim(x)))
-    parsed = cells.withColumn("values", F.expr("transform(cells, x -> try_cast(x as double))"))
-    bad = F.exists("values", lambda v: v.isNull())
-    coo = parsed.filter(~bad).select("file", "row", F.posexplode("values").alias("col", "value"))
-    return coo.withColumn("col", F.col("col").cast("long")), parsed.filter(bad).select("file", "row", "line")
+    lines = _lines(spark, path, delimiter=delimiter, layout="matrix")
+    coo = lines.filter("reject is null").select("file", "row", F.posexplode("values").alias("col", "value"))
+    return coo.withColumn("col", F.col("col").cast("long")), lines.filter("reject is not null").select("file", "row", F.col("reject").alias("line"))
+
+
+def read_table(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+    """A file with a header, or several of one kind: (file, row and its columns, kinds inferred), and rejects(file, row, line)."""
+    lines = _lines(spark, path, delimiter=delimiter, layout="table")
+    return lines.filter("reject is null").drop("reject"), lines.filter("reject is not null").select("file", "row", F.col("reject").alias("line"))
+
+
+def write_matrix(rows: DataFrame, path: str, order: list[str], values: str = "values") -> None:
+    """rows(*order, values array<double>) as the lines of one matrix, sorted by `order`, a file for each partition."""
+    registered(rows.sparkSession)
+    rows.orderBy(*order).select(values).write.format("matrix").option("path", path).mode("append").save()
+
+
+def write_matrices(rows: DataFrame, path: str, files: str, key: str, order: list[str]) -> None:
+    """One file for each value of `key`: its rows sorted by `order`, all other columns written; files has {key} in its name."""
+    registered(rows.sparkSession)
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order).drop(*(c for c in order if c != key))
+    dealt.write.format("matrix").option("path", path).option("files", files).mode("append").save()
 
 
 def matrix_shape(coo: DataFrame) -> DataFrame:
@@ -61,9 +74,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
     Header names may be padded. Of an agent that repeats, the later line's vector and the earlier line's position count.
     """
-    raw = spark.read.option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    raw = raw.toDF(*(c.strip() for c in raw.columns))
-    first = raw.filter(F.trim("round") == "0").withColumn("graph_id", _graph_id())
+    raw = registered(spark).read.schema("file string, part int, line long, reject string, round string, agentid string, P string").format("matrix").options(path=path, layout="table").load()
+    first = raw.filter("round = '0'").withColumn("graph_id", _graph_id()).withColumn("line", F.struct("part", "line"))
     digits = F.filter(F.split(F.regexp_replace("P", "\\s", ""), ""), lambda x: x != "")
     one = first.groupBy("graph_id", F.trim("agentid").alias("agent")).agg(F.max_by(F.transform(digits, lambda x: x.cast("int")), "line").alias("p"), F.min("line").alias("first"))
     return one.selectExpr("graph_id", "agent", "p", "row_number() over (partition by graph_id order by first) - 1 as position")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from metricgraph.plans import anomalies, fields, graphs, models, paths  # noqa: F401
+from metricgraph.plans import anomalies, fields, files, graphs, models, paths  # noqa: F401
 from metricgraph.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
