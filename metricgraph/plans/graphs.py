@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricgraph.functions.storage import stored
-from metricgraph.operators import diffusion, distance, evaluate, graph, laplacian, lattice
+from metricgraph.operators import diffusion, distance, evaluate, graph, laplacian, lattice, spectrum
 from metricgraph.plans.registry import query, r6
 from metricgraph.sources import tables
 from metricgraph.sources.tables import with_tables
@@ -233,17 +233,45 @@ def spectral_norm(spark: SparkSession, sf: str) -> DataFrame:
     return diffusion.spectral_norm(e, 5)
 
 
-@query("heat_times")
-def heat_times(spark: SparkSession, sf: str) -> DataFrame:
+def _supplier_spectrum(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The normalised Laplacian and one null vector for each component; a node without edges has the eigenvalue 1 and none."""
     s = tables.suppliers(spark, sf)
     e = edges(spark, sf)
-    lap = laplacian.laplacian(s, e)
     d = graph.degrees(s, e).filter("degree > 0").join(graph.components(s, e), "node_id")
     size = d.groupBy("component").agg(F.sqrt(F.sum("degree")).alias("size"))
-    # One null vector for each component; a node without edges has the eigenvalue 1 and none.
     null = d.join(size, "component").select(F.col("component").alias("part"), F.col("node_id").alias("node"), (F.sqrt("degree") / F.col("size")).alias("value"))
-    largest, smallest = diffusion.lanczos_extremes(lap, stored(null, "null"))
-    return diffusion.heat_times(spark, largest, smallest, 10)
+    return laplacian.laplacian(s, e), stored(null, "null")
+
+
+@query("heat_times")
+def heat_times(spark: SparkSession, sf: str) -> DataFrame:
+    lap, null = _supplier_spectrum(spark, sf)
+    return diffusion.heat_times(spark, *spectrum.positive_ends(lap, null), 10)
+
+
+@query("heat_times_traced")
+def heat_times_traced(spark: SparkSession, sf: str) -> DataFrame:
+    lap, null = _supplier_spectrum(spark, sf)
+    return spectrum.traced_heat_times(lap, lambda largest, smallest: diffusion.heat_times(spark, largest, smallest, 10), null)
+
+
+def _near_basis(spark: SparkSession, sf: str) -> DataFrame:
+    p = tables.points(spark, sf).select(F.col("id").alias("node_id"))
+    e = radius_graph(spark, sf).select("src", "dst", F.lit(1.0).alias("weight"))
+    parts = graph.components(p, e).select(F.col("node_id").alias("node"), "component")
+    return spectrum.eigenbasis(laplacian.laplacian(p, e), 3, parts)
+
+
+@query("heat_basis")
+def heat_basis(spark: SparkSession, sf: str) -> DataFrame:
+    return _near_basis(spark, sf)
+
+
+@query("heat_basis_action")
+def heat_basis_action(spark: SparkSession, sf: str) -> DataFrame:
+    """The smoothed labels of the points: a signal for each label."""
+    signal = tables.nodes(spark, sf).select(F.col("label").alias("seed"), F.col("node_id").alias("node"), F.lit(1.0).alias("value"))
+    return spectrum.basis_action(_near_basis(spark, sf), signal, [1.0, 10.0]).select("t", "seed", "node", r6("value"))
 
 
 @query(
