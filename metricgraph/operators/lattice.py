@@ -7,9 +7,10 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricgraph.functions.arrays import Metric, coords, euclidean, flat, quadratic
+from metricgraph.functions.arrays import Metric, coords, euclidean, flat, matrix_of, quadratic
+from metricgraph.functions.storage import stored
 from metricgraph.operators.distance import all_pairs, pair_distances, straight_line
-from metricgraph.operators.field import Bounds, within
+from metricgraph.operators.field import Bounds, cell_of, within
 from metricgraph.operators.paths import measure_paths, shortest_paths, walk_paths
 
 
@@ -56,14 +57,16 @@ def full_edges(nodes: DataFrame, max_nodes: int = 3_000, force: bool = False) ->
     return all_pairs(nodes.select(F.col("cell").alias("id"), F.lit(None).alias("coord")), force=True).selectExpr("i as src", "j as dst")
 
 
-def weigh_edges(edges: DataFrame, positions: DataFrame, metric: Metric, kind: str = "geodesic", dims: int = 2) -> DataFrame:
+def weigh_edges(edges: DataFrame, positions: DataFrame, metric: Metric | None, kind: str = "geodesic", dims: int = 2) -> DataFrame:
     """(src, dst, weight): half the sum of sqrt(dT G d) at both ends, each form at least 1e-12; or the Euclidean length;
-    or 1.0 (E5, E6). positions have (cell, coord)."""
-    ends = edges.select("src", "dst").join(positions.selectExpr("cell as src", "coord as a"), "src").join(positions.selectExpr("cell as dst", "coord as b"), "dst")
+    or 1.0 (E5, E6). positions have (cell, coord), and without a metric g as well, as a field table has it."""
+    g = [] if metric else ["g"]
+    ends = edges.select("src", "dst").join(positions.selectExpr("cell as src", "coord as a", *(f"{c} as g0" for c in g)), "src").join(positions.selectExpr("cell as dst", "coord as b", *(f"{c} as g1" for c in g)), "dst")
     p, q = coords(F.col("a"), dims), coords(F.col("b"), dims)
     d = [y - x for x, y in zip(p, q, strict=True)]
     if kind == "geodesic":
-        w = 0.5 * (F.sqrt(F.greatest(quadratic(metric(p), d), F.lit(1e-12))) + F.sqrt(F.greatest(quadratic(metric(q), d), F.lit(1e-12))))
+        first, last = (metric(p), metric(q)) if metric else (matrix_of(F.col("g0"), dims), matrix_of(F.col("g1"), dims))
+        w = 0.5 * (F.sqrt(F.greatest(quadratic(first, d), F.lit(1e-12))) + F.sqrt(F.greatest(quadratic(last, d), F.lit(1e-12))))
     elif kind == "euclidean":
         w = euclidean(F.col("a"), F.col("b"))
     elif kind == "unit":
@@ -73,6 +76,63 @@ def weigh_edges(edges: DataFrame, positions: DataFrame, metric: Metric, kind: st
     return ends.select("src", "dst", w.alias("weight"))
 
 
+def field_edges(field: DataFrame, bounds: Bounds, grid: int) -> DataFrame:
+    """(src, dst, weight), src < dst, between the neighbours of a whole lattice, from its field(cell, coord, g) (E5).
+
+    No join: each node makes its own half of the weight, sqrt(dT G d) / 2, of every edge that it is an end of, and the
+    two halves of an edge are added. So a field row meets nothing but its own edges, and one exchange of small rows is all.
+    A node that the field lacks has no edges.
+    """
+    dims, n = len(bounds), grid + 1
+    ways = [o for o in itertools.product((-1, 0, 1), repeat=dims) if any(o)]
+    idx = F.array(*((F.floor(F.col("cell") / (n ** (dims - 1 - d))) % n).cast("int") for d in range(dims)))
+    moved = field.select("cell", "g", idx.alias("idx"), F.explode(F.array(*(F.array(*map(F.lit, o)) for o in ways))).alias("o")).withColumn("to", F.zip_with("idx", "o", lambda a, b: a + b))
+    inside = moved.filter(F.forall("to", lambda x: (x >= 0) & (x < n)))
+    step = [F.get("o", F.lit(d)) * ((hi - lo) / grid) for d, (lo, hi) in enumerate(bounds)]
+    half = 0.5 * F.sqrt(F.greatest(quadratic(matrix_of(F.col("g"), dims), step), F.lit(1e-12)))
+    to = F.aggregate("to", F.lit(0).cast("long"), lambda acc, x: acc * n + x)
+    halves = inside.select("cell", to.alias("to"), half.alias("half"))
+    both = halves.groupBy(F.least("cell", "to").alias("src"), F.greatest("cell", "to").alias("dst")).agg(F.sum("half").alias("weight"), F.count("*").alias("ends"))
+    return both.filter("ends = 2").drop("ends")
+
+
+def field_distances(field: DataFrame, ends: DataFrame, bounds: Bounds, grid: int, nearest: int = 8, hops: int = 1) -> DataFrame:
+    """(i, j, search_cost, length) for pairs i < j of ends(id 0.., coord, g) over a lattice's field(cell, coord, g).
+
+    The same as lattice_distances with a metric that exists as a table only, such as the pullback of a decoder; without g
+    an end has the metric of its nearest node. Ends must lie within the bounds.
+    """
+    dims, base = len(bounds), (grid + 1) ** len(bounds)
+    _checked(ends, bounds)
+    if "g" not in ends.columns:
+        ends = ends.withColumn("cell", cell_of(coords(F.col("coord"), dims), bounds, grid)).join(field.select("cell", "g"), "cell").drop("cell")
+    field = stored(field.select("cell", "coord", "g"), "field")
+    own = ends.select((F.col("id") + base).alias("cell"), "coord", "g")
+    ties = attach_queries(field, ends, bounds, grid, nearest=nearest)
+    one = field_edges(field, bounds, grid).union(weigh_edges(ties, field.union(own), None, dims=dims))
+    return _found(one, field.union(own), ends, base, None, "geodesic", dims, hops, True)
+
+
+def _checked(queries: DataFrame, bounds: Bounds) -> None:
+    outside = queries.filter(~within(coords(F.col("coord"), len(bounds)), bounds)).limit(20).collect()
+    if outside:
+        raise ValueError(f"points out of bounds: {[(r['id'], list(r['coord'])) for r in outside]}")
+
+
+def _found(one: DataFrame, positions: DataFrame, queries: DataFrame, base: int, metric: Metric | None, kind: str, dims: int, hops: int, remeasure: bool) -> DataFrame:
+    """Search over edges of one direction from all queries, and the lengths of the paths that it found."""
+    edges = one.union(one.selectExpr("dst as src", "src as dst", "weight"))
+    labels = shortest_paths(edges, queries.select((F.col("id") + base).alias("source")), hops=hops)
+    ends = queries.select((F.col("id") + base).alias("node"))
+    found = labels.join(ends, "node").filter("source < node")
+    out = found.select((F.col("source") - base).alias("i"), (F.col("node") - base).alias("j"), F.col("dist").alias("search_cost"))
+    if not remeasure:
+        return out
+    paths = walk_paths(labels, found.select("source", "node"))
+    lengths = measure_paths(paths, positions.withColumnRenamed("cell", "node"), metric, kind, dims)
+    return out.join(lengths.select((F.col("src") - base).alias("i"), (F.col("dst") - base).alias("j"), "length"), ["i", "j"])
+
+
 def node_features(nodes: DataFrame, metric: Metric, dims: int = 2) -> DataFrame:
     """(cell, features): position, index and flattened metric of each node."""
     g = flat(metric(coords(F.col("coord"), dims)))
@@ -114,24 +174,13 @@ def lattice_distances(spark: SparkSession, queries: DataFrame, metric: Metric, b
     each step's ends. Points outside the bounds raise an error that lists them. No row = unreachable.
     """
     dims = len(bounds)
-    outside = queries.filter(~within(coords(F.col("coord"), dims), bounds)).limit(20).collect()
-    if outside:
-        raise ValueError(f"points out of bounds: {[(r['id'], list(r['coord'])) for r in outside]}")
+    _checked(queries, bounds)
     base = (grid + 1) ** dims
     nodes = lattice_nodes(spark, bounds, grid).select("cell", "idx", "coord")
     positions = nodes.select("cell", "coord").union(queries.select((F.col("id") + base).alias("cell"), "coord"))
     pairs = lattice_edges(nodes, grid, dims).union(attach_queries(nodes, queries, bounds, grid, nearest=nearest))
     one = weigh_edges(pairs, positions, metric, kind, dims)
-    edges = one.union(one.selectExpr("dst as src", "src as dst", "weight"))
-    labels = shortest_paths(edges, queries.select((F.col("id") + base).alias("source")), hops=1 if remeasure else hops)
-    ends = queries.select((F.col("id") + base).alias("node"))
-    found = labels.join(ends, "node").filter("source < node")
-    out = found.select((F.col("source") - base).alias("i"), (F.col("node") - base).alias("j"), F.col("dist").alias("search_cost"))
-    if not remeasure:
-        return out
-    paths = walk_paths(labels, found.select("source", "node"))
-    lengths = measure_paths(paths, positions.withColumnRenamed("cell", "node"), metric, kind, dims)
-    return out.join(lengths.select((F.col("src") - base).alias("i"), (F.col("dst") - base).alias("j"), "length"), ["i", "j"])
+    return _found(one, positions, queries, base, metric, kind, dims, hops, remeasure)
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.functions.arrays import dot, mean, softplus, squared_deviation, total
+from metricgraph.functions.arrays import dot, mean, sigmoid, softplus, squared_deviation, total
 from metricgraph.functions.blocks import pair_sums
 
 
@@ -73,24 +74,25 @@ def total_loss(losses: DataFrame, weights: DataFrame, kl: Column | float = 0.0,
     return scaled.agg((F.coalesce(F.sum("x"), F.lit(0.0)) + kl_weight * kl).alias("total"))
 
 
+#: The slope and the middle of the sigmoid, the cycles of a schedule and the part of a cycle that rises.
+SLOPE, MIDDLE, CYCLES, RISING = 5.0, 0.5, 4, 0.5
+#: Share of the way from start to end, by the step and the number of steps.
+SHAPES: dict[str, Callable[[Column, int], Column]] = {
+    "linear": lambda step, n: F.least(F.lit(1.0), step / float(n)),
+    "sigmoid": lambda step, n: sigmoid(SLOPE * (F.least(F.lit(1.0), step / float(n)) - MIDDLE)),
+    "cyclical": lambda step, n: F.least(F.lit(1.0), F.pmod(CYCLES * step.cast("double"), F.lit(float(n))) / (RISING * n)),
+    "constant": lambda step, n: F.lit(1.0),
+    "none": lambda step, n: F.lit(0.0),
+}
+
+
 def kl_weight(step: Column, kind: str, steps: int, weight: float = 1.0, start: float = 0.0, end: float = 1.0) -> Column:
-    """Weight of the divergence at a step: linear, sigmoid, cyclical, constant or none."""
-    if kind == "none":
-        return F.lit(0.0)
-    progress = F.least(F.lit(1.0), step / float(steps))
-    if kind == "linear":
-        share = progress
-    elif kind == "sigmoid":
-        share = 1.0 / (1.0 + F.exp(-5.0 * (progress - 0.5)))
-    elif kind == "cyclical":
-        cycle = steps / 4.0
-        within = (step % cycle) / cycle
-        share = F.when(within < 0.5, within * 2.0).otherwise(1.0)
-    elif kind == "constant":
-        return F.lit(weight * weight)
-    else:
+    """Weight of the divergence at a step, by one of SHAPES (G7): weight times a level between start and end; a constant
+    schedule has the level `weight`, none has 0."""
+    if kind not in SHAPES:
         raise ValueError(f"unknown schedule: {kind}")
-    return (start + share * (end - start)) * weight
+    low, high = {"constant": (weight, weight), "none": (0.0, 0.0)}.get(kind, (start, end))
+    return weight * (low + (high - low) * SHAPES[kind](step, steps))
 
 
 def epoch_means(history: DataFrame) -> DataFrame:

@@ -197,6 +197,25 @@ def pullback_field(points: DataFrame, body: Sequence[Layer], mu_head: Layer, log
     return _mapped(points, vector, {"g": "array<double>"}, fn)
 
 
+def pullback_field_rbf(points: DataFrame, body: Sequence[Layer], mu_head: Layer, logvar_head: Layer, centers: DataFrame, vector: str = "coord") -> DataFrame:
+    """(id, g): (J_mu + P)T (J_mu + P), where P of precision_jacobian takes the place of the sigma part (F9, with F13).
+
+    centers(k, c, lambda, w) hold a weight for each output of the decoder.
+    """
+    dims = F.size("coord")
+    own = points.select("id", F.col(vector).alias("coord"))
+    means = _mapped(own, "coord", {"j_mu": "array<double>"}, lambda x: (_variational_jacobians(x, body, mu_head, logvar_head)[0],))
+    parts = precision_jacobian(own, centers).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "axis", "value"))), lambda s: s["value"]).alias("p"))
+    both = own.join(means, "id").join(parts, "id").select("id", dims.alias("n"), F.zip_with("j_mu", "p", lambda a, b: a + b).alias("j"))
+    outputs = F.sequence(F.lit(0), (F.size("j") / F.col("n")).cast("int") - 1)
+    axes = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def entry(a: Column, b: Column) -> Column:
+        return F.aggregate(outputs, F.lit(0.0), lambda acc, d: acc + F.get("j", d * F.col("n") + a) * F.get("j", d * F.col("n") + b))
+
+    return both.select("id", F.flatten(F.transform(axes, lambda a: F.transform(axes, lambda b: entry(a, b)))).alias("g"))
+
+
 def rbf_centers(points: DataFrame, k: int, a: float = 1.0, seed: int = 42) -> DataFrame:
     """(k, c, lambda): k-means centres of points(id, coord); lambda = a / 2 s^2 with s = 1.25 * the least axis deviation.
 

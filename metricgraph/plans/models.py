@@ -90,6 +90,12 @@ def pullback_field(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.pullback_field(tables.points(spark, sf), DECODER_BODY, DECODER_MU, DECODER_LV)
 
 
+@query("pullback_field_rbf")
+def pullback_field_rbf(spark: SparkSession, sf: str) -> DataFrame:
+    wide = _centers(spark, sf).withColumn("w", F.array(*(F.get("w", F.lit(i % 2)) for i in range(len(DECODER_MU.w)))))
+    return scoring.pullback_field_rbf(tables.points(spark, sf), DECODER_BODY, DECODER_MU, DECODER_LV, wide)
+
+
 @query("gaussian_draw")
 def gaussian_draw(spark: SparkSession, sf: str) -> DataFrame:
     codes = tables.points(spark, sf).select("id", F.col("coord").alias("mu"), F.transform("coord", lambda x: x - 1.0).alias("logvar"))

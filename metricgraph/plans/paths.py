@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricgraph.operators import lattice, paths
+from metricgraph.operators import field, lattice, paths, scoring
 from metricgraph.plans.fields import BOX, METRIC, N, bump, side
 from metricgraph.plans.graphs import PAIRS, RADIUS, radius_graph
+from metricgraph.plans.models import DECODER_BODY, DECODER_LV, DECODER_MU
 from metricgraph.plans.registry import query, r6
 from metricgraph.sources import tables
 from metricgraph.sources.tables import with_tables
@@ -117,6 +118,21 @@ def lattice_distances(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.lattice_distances(spark, _ends(spark, sf), METRIC, BOX, 12)
 
 
+@query("field_edge_weights", f"with {LAT}, {MOORE} select src, dst, round({WEIGHT}, 6) as weight from e")
+def field_edge_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights of lattice_edges from the field as a table."""
+    return lattice.field_edges(field.evaluate_field(nodes(spark, sf), METRIC), BOX, side(spark, sf) - 1).select("src", "dst", r6("weight"))
+
+
+@query("decoded_distances")
+def decoded_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoder to field to distances: between one point for each label, in the metric that the decoder pulls back."""
+    n = lattice.lattice_nodes(spark, BOX, 12)
+    decoded = [scoring.pullback_field(p, DECODER_BODY, DECODER_MU, DECODER_LV) for p in (n.select(F.col("cell").alias("id"), "coord"), _ends(spark, sf))]
+    table = n.join(decoded[0].withColumnRenamed("id", "cell"), "cell").select("cell", "coord", "g")
+    return lattice.field_distances(table, _ends(spark, sf).join(decoded[1], "id"), BOX, 12, hops=4)
+
+
 @query("lattice_path_report")
 def lattice_path_report(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.path_report(spark, tables.points(spark, sf), METRIC, BOX, 10, 20)
