@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +51,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "text", "row_key")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it back, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(docs: DataFrame, *but: str) -> Column:
+    """A struct of all columns of docs apart from some."""
+    return F.struct(*(docs[quoted(c)] for c in docs.columns if c not in but))
+
+
 def own_ids(keyed_docs: DataFrame) -> bool:
     """Whether row_key is doc_id in every row, so that doc_id alone names a row."""
     return keyed_docs.filter("row_key is distinct from doc_id").isEmpty()

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricgraph.llm.common import whole_rows
+
 WINDOW = 10
 #: A benchmark of more words than this is joined by a shuffle instead of being sent to every task (about 200 bytes each).
 MAX_BROADCAST_WORDS = 500_000
@@ -115,7 +117,7 @@ def _benchmark(benchmark: DataFrame, window: int, limit: int) -> Windows | None:
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple]]]:
     """The rows of docs as structs, with what scanning needs, and a function of a batch that gives (words, hit, items) of each."""
     known = _benchmark(benchmark, window, limit)
-    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    docs = docs.select(whole_rows(docs).alias("row"))
     if known is not None:
         held = docs.sparkSession.sparkContext.broadcast(known)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import discard, keyed, own_ids, possibly_among, release, stored
+from metricgraph.llm.common import discard, keyed, own_ids, possibly_among, quoted, release, stored, whole_rows
 
 #: Lines of fewer words than this are removed only when they repeat exactly: one word would be more than a quarter of them.
 NEAR_WORDS = 4
@@ -155,11 +155,11 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """
     own = keyed(docs)
     gone = repeated_lines(own, near_words)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), "text")
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").alias("id"), "text")
     if own_ids(own):
         out = rows.join(gone.withColumnRenamed("row_key", "id").hint("merge"), "id", "left")
     else:
         first = own.groupBy("doc_id", "text").agg(F.min("row_key").alias("row_key")).join(gone, "row_key").select(F.col("doc_id").alias("g_id"), F.col("text").alias("g_text"), "gone")
         out = rows.join(first, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("text") == F.col("g_text")), "left")
     out = out.select("row", "gone", _kept("text", "gone").alias("left")).filter(F.col("gone").isNull() | F.col("left").rlike(r"[^ \t\n\x0B\f\r]"))
-    return out.select(*(F.col("left" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
+    return out.select(*(F.col("left" if c == "text" else f"row.{quoted(c)}").alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import discard, keyed, own_ids, parallelism, possibly_among, release, stored
+from metricgraph.llm.common import discard, keyed, own_ids, parallelism, possibly_among, release, stored, whole_rows
 from metricgraph.operators.graph import reached
 
 SKETCH = 64
@@ -386,10 +386,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     All columns of docs stay. Of rows that repeat both doc_id and text one is kept. Texts without words all stay.
     """
     found = stored(near_duplicates(docs, shingle, percent).select("row_key", "doc_id", "kept"), "kept")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = docs.select(whole_rows(docs).alias("row"))
     if own_ids(found):
         gone = found.filter("not kept").select(F.col("doc_id").alias("gone"))
         return rows.join(gone.hint("merge"), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
     kept = keyed(docs).join(found.filter("kept").select("row_key"), "row_key").select("doc_id", "text").distinct()
-    one = docs.dropDuplicates(["doc_id", "text"]).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    one = docs.dropDuplicates(["doc_id", "text"]).select(whole_rows(docs).alias("row"))
     return one.join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.coalesce("row.text", F.lit("")) == F.col("text")), "left_semi").select("row.*")

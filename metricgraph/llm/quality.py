@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import stored
+from metricgraph.llm.common import stored, whole_rows
 
 #: Bound of the fit: labelled rows that it sees. Trees, their depth, the lasso weight, and the seed of the forest.
 MAX_ROWS, TREES, DEPTH, LASSO, SEED = 20_000, 12, 3, 2e-3, 7
@@ -116,7 +116,7 @@ class RuleEnsemble:
         total = F.lit(self.intercept)
         for w, rule in self.rules:
             total = total + F.when(_holds(rule), w).otherwise(0.0)
-        rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "score")).alias("row"), *(c.alias(n) for n, c in statistics(F.col("text")).items()))
+        rows = docs.select(whole_rows(docs, "score").alias("row"), *(c.alias(n) for n, c in statistics(F.col("text")).items()))
         return rows.select("row.*", (1 / (1 + F.exp(-total))).alias("score"))
 
 

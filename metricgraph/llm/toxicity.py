@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.llm.common import stored
+from metricgraph.llm.common import stored, whole_rows
 
 #: The chain in its order: kinds of toxicity found in the training texts, and toxicity itself.
 KINDS = ("kind_1", "kind_2")
@@ -114,7 +114,7 @@ class ToxicityChain:
         """
         if not self.models:
             return docs.select("*", *(F.lit(0.0).alias(f"p_{c}") for c in CHAIN))
-        frame = _vectors(_words(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "text"), "words"), self.words)
+        frame = _vectors(_words(docs.select(whole_rows(docs).alias("_row"), "text"), "words"), self.words)
         for i, (name, model) in enumerate(zip(CHAIN, self.models, strict=True)):
             frame = _scored(model, _assembled(frame, [f"p_{c}" for c in CHAIN[:i]]), f"p_{name}").drop("features")
         return frame.select("_row.*", *(f"p_{c}" for c in CHAIN))
@@ -160,5 +160,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the chain does not call toxic, with all columns of docs."""
-    scored = ToxicityChain.fit(docs, labels).score(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_docs"), "text"))
+    scored = ToxicityChain.fit(docs, labels).score(docs.select(whole_rows(docs).alias("_docs"), "text"))
     return scored.filter(F.col("p_toxic") < threshold).select("_docs.*")

@@ -347,13 +347,13 @@ def test_rules_score_as_plain_python(spark, documents):
 
 
 #: Every name that a stage or a scorer gives to a column of its own.
-INTERNAL = "gone left row row_key line h1 h2 key _key _gone _spans _items _left _row _docs _word _bits _log_chars log_chars features words counts p_toxic kind_1 component kept rep hub id doc".split()
+INTERNAL = "gone left row row_key line h1 h2 key _key _gone _spans _items _left _row _docs _word _bits _log_chars log_chars features words counts p_toxic kind_1 component kept rep hub id doc a.b x`y".split() + ["two words"]
 
 
 @pytest.mark.parametrize("value", ["x", 1])
 def test_stages_leave_other_columns_alone(spark, value):
     data = [(d, t, *(value for _ in INTERNAL)) for d, t in AWKWARD]
-    schema = "doc_id long, text string, " + ", ".join(f"{c} {'string' if value == 'x' else 'int'}" for c in INTERNAL)
+    schema = "doc_id long, text string, " + ", ".join(f"{common.quoted(c)} {'string' if value == 'x' else 'int'}" for c in INTERNAL)
     docs = spark.createDataFrame(data, schema)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     labels = spark.createDataFrame([(d, d % 2, d % 2) for d, _ in AWKWARD], "doc_id long, quality int, toxic int")
