@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.storage import stored
@@ -37,3 +37,32 @@ def pair_sums(latent: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> Data
     kind = dict(latent.dtypes)["node_id"]
     met = dealt.groupBy("x", "y").applyInPandas(meet, f"node_id {kind}, value double")
     return stored(met.groupBy("node_id").agg(F.sum("value").alias("value")), "sums")
+
+
+def met_blocks(rows: DataFrame, meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pd.DataFrame], schema: str, blocks: int, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """What meet(ids, vectors, other ids, other vectors, same) gives for each pair of blocks x <= y of rows(id, v, block), once.
+
+    same says that a block meets itself. wanted(x, y) leaves pairs of blocks out before anything is shuffled. Ids must be
+    integers that are not null. Blocks number from 0.
+    """
+    later = F.transform(F.sequence(F.col("block"), F.lit(blocks - 1)), lambda y: F.struct(F.lit(0).alias("side"), F.col("block").alias("x"), y.alias("y")))
+    earlier = F.transform(F.filter(F.sequence(F.lit(0), F.col("block")), lambda x: x < F.col("block")), lambda x: F.struct(F.lit(1).alias("side"), x.alias("x"), F.col("block").alias("y")))
+    to = F.concat(later, earlier)
+    to = to if wanted is None else F.filter(to, lambda t: wanted(t["x"], t["y"]))
+    dealt = rows.withColumn("block", F.col("block").cast("int")).select("id", "v", F.explode(to).alias("to")).select("id", "v", "to.side", "to.x", "to.y")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(met: pd.DataFrame) -> pd.DataFrame:
+        same = bool((met["x"] == met["y"]).all())
+        a, b = met[met["side"] == 0], met[met["side"] == (0 if same else 1)]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        return meet(a["id"].to_numpy(), np.stack(a["v"]), b["id"].to_numpy(), np.stack(b["v"]), same)
+
+    return dealt.groupBy("x", "y").applyInPandas(run, schema)
+
+
+def hashed_blocks(rows: DataFrame, size: int = ROWS) -> tuple[DataFrame, int]:
+    """rows(id, v) with a block of about `size` rows by a hash of the id, and the number of blocks."""
+    blocks = max(1, -(-rows.count() // size))
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks

@@ -17,7 +17,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricgraph.functions.arrays import dot, sigmoid
+from metricgraph.functions.arrays import dot, norm, sigmoid
+from metricgraph.functions.blocks import ROWS, met_blocks
+from metricgraph.functions.storage import stored
 
 #: Centres of a precision model that are broadcast.
 MAX_CENTERS = 10_000
@@ -165,6 +167,32 @@ def edge_probabilities(latent: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("src", "dst", dot(F.col("a"), F.col("b")).alias("logit")).withColumn("probability", sigmoid(F.col("logit")))
 
 
+def edges_above(latent: DataFrame, threshold: float, size: int = ROWS) -> DataFrame:
+    """(src, dst, logit, probability), src < dst, of all pairs of latent(node_id, z) with z_i . z_j >= threshold.
+
+    Blocks of about `size` rows are cut by descending length. Two blocks whose longest vectors cannot reach a positive
+    threshold never meet (Cauchy-Schwarz, rounded up); the others meet once, as a matrix product. Only edges are written.
+    For a threshold p on probabilities pass log(p / (1 - p)). The driver holds one length for each block.
+    """
+    z = latent.select(F.col("node_id").alias("id"), F.transform("z", lambda x: x.cast("double")).alias("v")).withColumn("length", norm(F.col("v")))
+    blocks = max(1, -(-z.count() // size))
+    dealt = stored(z.repartitionByRange(blocks, F.col("length").desc(), "id").withColumn("block", F.spark_partition_id()), "blocks")
+    tops = dict(dealt.groupBy("block").agg(F.max("length")).collect())
+    blocks = max(tops, default=0) + 1
+    top = F.from_json(F.lit(str([tops.get(b, 0.0) * (1 + 1e-9) for b in range(blocks)])), "array<double>")
+
+    def meet(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, same: bool) -> pd.DataFrame:
+        logit = a @ b.T
+        i, j = np.nonzero(logit >= threshold)
+        one, two, x = ids[i], others[j], logit[i, j]
+        held = one < two if same else np.ones(len(one), bool)
+        return pd.DataFrame({"src": np.minimum(one, two)[held], "dst": np.maximum(one, two)[held], "logit": x[held]})
+
+    reach = None if threshold <= 0 else lambda x, y: F.get(top, x) * F.get(top, y) >= threshold
+    found = met_blocks(dealt.select("id", "v", "block"), meet, "src long, dst long, logit double", blocks, reach)
+    return found.withColumn("probability", sigmoid(F.col("logit")))
+
+
 def jacobians(points: DataFrame, layers: Sequence[Layer], vector: str = "coord") -> DataFrame:
     """(id, output, jacobian) with the row-major derivatives of all outputs by the inputs."""
     return _mapped(points, vector, {"output": "array<double>", "jacobian": "array<double>"}, lambda x: forward(x, layers, True))

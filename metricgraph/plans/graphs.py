@@ -139,8 +139,7 @@ SIGMA = "sigma as (select quantile_disc(v, 0.5) as sigma from (select dist as v
 
 @query("bandwidth", f"{with_tables('points')}, {PAIRS}, {SIGMA} select round(sigma, 6) as sigma from sigma")
 def bandwidth(spark: SparkSession, sf: str) -> DataFrame:
-    p = tables.points(spark, sf)
-    return laplacian.bandwidth(point_pairs(spark, sf), p.count()).select(r6("sigma"))
+    return laplacian.median_distance(tables.points(spark, sf)).select(r6("sigma"))
 
 
 WCUT = repr(laplacian.cutoff_weight(1e-6))
@@ -156,7 +155,7 @@ w as (select i as src, j as dst, w as weight from half where w > {WCUT} union al
 def manifold_laplacian(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.points(spark, sf)
     pairs = point_pairs(spark, sf)
-    sigma = laplacian.bandwidth(pairs, p.count())
+    sigma = laplacian.median_distance(p)
     return laplacian.manifold_laplacian(p.select(F.col("id").alias("node_id")), pairs, sigma).select("row", "col", r6("value"))
 
 
@@ -179,7 +178,7 @@ def value_affinity(spark: SparkSession, sf: str) -> DataFrame:
 def affinity_report(spark: SparkSession, sf: str) -> DataFrame:
     n = tables.points(spark, sf).count()
     pairs = point_pairs(spark, sf)
-    return laplacian.affinity_report(pairs, laplacian.bandwidth(pairs, n), n).select(r6("zero_share"), r6("energy_kept"))
+    return laplacian.affinity_report(pairs, laplacian.median_distance(tables.points(spark, sf)), n).select(r6("zero_share"), r6("energy_kept"))
 
 
 def _kernel(spark: SparkSession, sf: str, rate: float | None) -> DataFrame:

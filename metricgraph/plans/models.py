@@ -75,6 +75,13 @@ def edge_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.edge_probabilities(z, _pairs(spark, sf)).select("src", "dst", r6("logit"), r6("probability"))
 
 
+@query("edges_above", f"{with_tables('nodes')}, z as (select node_id, list_transform(features, lambda x: (1 + label) * x) as z from nodes), l as (select a.node_id as src, b.node_id as dst, list_dot_product(a.z, b.z) as x from z a join z b on a.node_id < b.node_id) select src, dst, round(x, 6) as logit, round(1 / (1 + exp(-x)), 6) as probability from l where x >= 8.0")
+def edges_above(spark: SparkSession, sf: str) -> DataFrame:
+    """Features lengthened by their label, so that lengths differ."""
+    z = tables.nodes(spark, sf).select("node_id", F.transform("features", lambda x: (1 + F.col("label")) * x).alias("z"))
+    return scoring.edges_above(z, 8.0).select("src", "dst", r6("logit"), r6("probability"))
+
+
 @query("decoder_jacobians")
 def decoder_jacobians(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.jacobians(tables.points(spark, sf), DECODER)
