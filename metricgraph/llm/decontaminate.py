@@ -2,7 +2,7 @@
 
 The windows of the benchmark go to every task as a hash table, where their number is within a checked bound; documents
 are scanned once, a rolling hash finds candidate windows, and the words themselves verify them. Beyond the bound
-documents' window hashes are joined with the benchmark's by a shuffle, and the found windows are verified the same way.
+128-bit digests of documents' windows are joined with the benchmark's by a shuffle; equal digests count as equal windows there.
 """
 
 from __future__ import annotations
