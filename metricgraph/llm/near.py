@@ -22,6 +22,11 @@ union sketch, which a linked pair misses with a probability of 4e-9, and the wor
 are in different components after that are compared with each other: overlaps counted from the inverted lists of the
 group's retained values, the same estimate, and for the members that this leaves counts over their full sets. So full
 sets travel once for each group in which a member is still in question, and never for lists that are settled.
+
+exact=True adds what has no chances: all values are counted, each set is ordered by how few sets hold a value, and its
+first n - ceil(percent n / 100) + 1 values make keys. Two linked sets always share one of them, so they meet in a group and are
+compared by their full sets, unless they are in one component already. A value that no other set holds makes no list,
+which leaves out every document of which fewer than percent of the values occur elsewhere.
 """
 
 from __future__ import annotations
@@ -322,6 +327,43 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("row_key", "text").mapInPandas(run, "rep long, hashes binary")
 
 
+def _prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """(key, rep) of full(rep, n_shingles, hashes): the rarest values of each set, as many as two linked sets cannot both lack."""
+    entries = full.select("rep", "n_shingles", F.explode("hashes").alias("key"))
+    held = stored(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "held")
+    shared = entries.join(held, "key").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("values"))
+    # Values of no other set are the rarest, so they come first in the order and fill as many places.
+    most = F.expr(f"cast(size(values) - (({percent} * n_shingles + 99) div 100) + 1 as int)")
+    return shared.withColumn("most", most).filter("most > 0").select(F.explode(F.slice("values", 1, F.col("most"))).alias("v"), "rep").select("v.key", "rep")
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """(rep, hub): the members of the inverted lists but for their hubs."""
+    hubs = entries.groupBy("key").agg(_hub(), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    return entries.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct()
+
+
+def _groups(grouped: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, hub, component, members) of the groups whose members are in several of the components found so far."""
+    groups = grouped.union(grouped.select(F.col("hub").alias("rep"), "hub").distinct())
+    return _mixed(groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+
+
+def _missed(docs: DataFrame, reps: DataFrame, found: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links between components found so far, enough to join all that belong together; none is left to chance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [shingle_hashes(words_of(t), shingle).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"rep": batch["row_key"], "n_shingles": [len(h) for h in hashes], "hashes": hashes})
+
+    full = _chosen(docs, reps.select(F.col("rep").alias("row_key"))).select("row_key", "text")
+    full = stored(full.mapInPandas(run, "rep long, n_shingles long, hashes array<long>"), "full")
+    grouped = stored(_lists(stored(_prefixes(full, percent), "prefixes")), "pairs")
+    groups = stored(_groups(grouped, found), "groups")
+    return _verified(stored(_across(groups.join(full.hint("merge"), "rep"), percent), "pairs"), docs, shingle, percent)
+
+
 def _hub() -> Column:
     """The hub of a list, as an aggregate: one of HUBS orders of the members, chosen by the key, names its first member."""
     order = F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.lit(HUBS)))
@@ -334,13 +376,15 @@ def _mixed(groups: DataFrame) -> DataFrame:
     return groups.join(several.filter("c0 <> c1").select("hub", "members"), "hub")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH, exact: bool = False) -> DataFrame:
     """Link docs(doc_id, text) whose word shingle sets have 100 * intersection >= percent * union.
 
     Returns row_key, doc_id, n_shingles, component (smallest row_key that links reach), kept (row_key = component), one
     row for each row of docs. row_key is doc_id where ids are unique and not null; see common.keyed for the rest: each
     repeated row is a document of its own. Texts that are null or without words have no shingles and link with nothing.
     Equal sets are one class before any pair is made, so copies cost no pairs; other columns of docs are not read.
+    exact leaves no link to the chances that the module names (equal 64-bit hashes of different shingles apart); it
+    shuffles all values of all distinct sets twice.
     """
     docs = keyed(docs)
     sketches = stored(_sketches(docs, shingle, k), "sketches")
@@ -352,10 +396,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     discard(sketches)
 
     # Inverted lists. Each has a hub, with which each other member is paired.
-    entries = _keys(reps.filter("n_shingles > 1"), k)
-    hubs = entries.groupBy("key").agg(_hub(), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    pairs = entries.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct()
-    grouped = stored(pairs, "pairs")
+    grouped = stored(_lists(_keys(reps.filter("n_shingles > 1"), k)), "pairs")
     release(docs.sparkSession)
     pairs = grouped.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = stored(_verified(stored(_estimated(pairs, reps, percent, k), "estimated"), docs, shingle, percent), "links")
@@ -363,16 +404,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     # Members of a hub's lists that are in different components still are compared with each other: by their sketches,
     # and those that are near another one by their full sets.
-    groups = grouped.union(grouped.select(F.col("hub").alias("rep"), "hub").distinct())
-    groups = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    groups = stored(_mixed(groups).filter("members > 2"), "groups")
+    groups = stored(_groups(grouped, found).filter("members > 2"), "groups")
     sides = possibly_among(reps.select("rep", "n_shingles", "sketch"), "rep", groups.select("rep"))
     close = stored(_close(groups.join(sides.hint("merge"), "rep"), percent, k), "close")
     groups = _mixed(groups.drop("members").join(close, ["hub", "rep"]).join(reps.select("rep", "n_shingles").hint("merge"), "rep"))
     sets = stored(_sets(_chosen(docs, close.select(F.col("rep").alias("row_key"))), shingle), "sets")
     more = stored(_verified(stored(_across(groups.join(sets.hint("merge"), "rep"), percent), "pairs"), docs, shingle, percent), "links")
     if not more.isEmpty():
-        found = reached(links.union(more))
+        links = links.union(more)
+        found = reached(links)
+    if exact:
+        missed = stored(_missed(docs, reps, found, shingle, percent), "links")
+        if not missed.isEmpty():
+            found = reached(links.union(missed))
 
     release(docs.sparkSession)
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep", "row_key"))
@@ -380,12 +424,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     return docs.select("row_key", "doc_id").join(out, "row_key")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest (doc_id, text).
 
-    All columns of docs stay. Of rows that repeat both doc_id and text one is kept. Texts without words all stay.
+    All columns of docs stay. Of rows that repeat both doc_id and text one is kept. Texts without words, null ones too,
+    all stay; an empty table stays empty. exact is near_duplicates' own.
     """
-    found = stored(near_duplicates(docs, shingle, percent).select("row_key", "doc_id", "kept"), "kept")
+    found = stored(near_duplicates(docs, shingle, percent, exact=exact).select("row_key", "doc_id", "kept"), "kept")
     rows = docs.select(whole_rows(docs).alias("row"))
     if own_ids(found):
         gone = found.filter("not kept").select(F.col("doc_id").alias("gone"))

@@ -139,6 +139,27 @@ def test_near_duplicates_of_short_texts_with_hot_values(spark, monkeypatch):
     assert all(got[2 * i + 1] == (4, 2 * i) for i in range(60))
 
 
+def test_near_duplicates_without_chances(spark, documents, awkward, monkeypatch):
+    """The exact mode finds every link, also where the sketches' keys bring nothing together."""
+    data = [(i, " ".join(f"w{(i // 6 * 37 + j * (1 + i // 6)) % 4001 if j != i % 6 * 7 else -i - 1}" for j in range(60))) for i in range(180)]
+    data += [(1000 + i, PASSAGE + f" own{i} own{i + 1} own{i % 3}") for i in range(60)]
+    made = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(near, "BLOCK", 16)
+    # One value has no successor: with 1 there are no keys at all.
+    for most, docs, shingle, percent in ((near.COLD_VALUES, documents, 5, 80), (1, made, 2, 80), (1, awkward, 2, 80), (1, made, 1, 50)):
+        monkeypatch.setattr(near, "COLD_VALUES", most)
+        monkeypatch.setattr(near, "FULL_VALUES", most)
+        got = rows(near.near_duplicates(docs, shingle, percent, exact=True), "n_shingles", "component")
+        assert got == brute.near(pairs(docs), shingle, percent)
+    assert rows(near.near_duplicates(made, 2, 80), "n_shingles", "component") != brute.near(data, 2, 80)
+
+
+def test_near_duplicates_without_chances_of_nothing(empty, repeated):
+    assert near.near_duplicates(empty, exact=True).count() == 0
+    assert near.keep_one(empty, exact=True).count() == 0
+    assert near.keep_one(repeated, exact=True).count() == 3
+
+
 def test_near_duplicates_of_nothing_and_repeats(empty, repeated):
     assert near.near_duplicates(empty).count() == 0
     got = near.near_duplicates(repeated).collect()
