@@ -101,9 +101,18 @@ def all_pairs(points: DataFrame, max_points: int = 20_000, force: bool = False)
     return left.join(right, ["x", "y"]).filter("i < j").select("i", "j", "a", "b")
 
 
-def distance_table(points: DataFrame, distance: str | Distance = "straight", metric: Metric | None = None, dims: int = 2, **options: bool) -> DataFrame:
-    """pairs(i, j, dist) with i < j over all points: straight, euclidean, midpoint, simpson or endpoint length."""
-    return pair_distances(all_pairs(points, **options), distance, metric, dims)
+def distance_table(points: DataFrame, distance: str | Distance = "straight", metric: Metric | None = None, dims: int = 2, bounds: Bounds | None = None, **options: bool) -> DataFrame:
+    """pairs(i, j, dist) with i < j over all points: straight, euclidean, midpoint, simpson, endpoint or optimised length.
+
+    optimised is the length of the cheapest candidate path, in two dimensions, with a metric and bounds. Lengths over a
+    lattice, the mode that searches, are lattice.searched_table.
+    """
+    pairs = all_pairs(points, **options)
+    if distance != "optimised":
+        return pair_distances(pairs, distance, metric, dims)
+    if metric is None or bounds is None or dims != 2:
+        raise ValueError("optimised distances take a metric and bounds in two dimensions")
+    return best_candidate_paths(pairs, metric, bounds).select("i", "j", F.col("length").alias("dist"))
 
 
 def field_distance(pairs: DataFrame, field: DataFrame, cell: Callable[[Sequence[Column]], Column], points: int = 25, dims: int = 2) -> DataFrame:

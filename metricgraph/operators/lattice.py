@@ -183,6 +183,17 @@ def lattice_distances(spark: SparkSession, queries: DataFrame, metric: Metric, b
     return _found(one, positions, queries, base, metric, kind, dims, hops, remeasure)
 
 
+def searched_table(points: DataFrame, metric: Metric, bounds: Bounds, grid: int, max_points: int = 20_000, force: bool = False) -> DataFrame:
+    """pairs(i, j, dist) with i < j over all points(id 0.., coord) by the lattice mode (C9): no row = unreachable.
+
+    As in distance_table, more points than max_points need force.
+    """
+    n = points.count()
+    if n > max_points and not force:
+        raise ValueError(f"{n} points have {n * (n - 1) // 2} pairs; pass force=True to make them all")
+    return lattice_distances(points.sparkSession, points, metric, bounds, grid).select("i", "j", F.col("length").alias("dist"))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: counts, average degree, mean, sample deviation, least and greatest weight (E14). One row an edge."""
     n = nodes.agg(F.count("*").alias("n_nodes"))

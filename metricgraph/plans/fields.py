@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricgraph.functions import sql
 from metricgraph.functions.arrays import coords, flat
 from metricgraph.operators import distance, field, immersion, lattice, neighbors
 from metricgraph.plans.graphs import PAIRS, point_pairs
@@ -86,7 +87,11 @@ def straight_line_distance(spark: SparkSession, sf: str) -> DataFrame:
     return distance.pair_distances(steps(spark, sf), distance.straight_line(20, BOX), METRIC).select("i", "j", r6("dist"))
 
 
-@query("midpoint_distance", f"{STEPS} select i, j, round(sqrt((dx * dx + dy * dy) * {bump('ux + dx * 0.5', 'uy + dy * 0.5')}), 6) as dist from steps")
+MIDPOINT = f"{STEPS} select i, j, round(sqrt((dx * dx + dy * dy) * {bump('ux + dx * 0.5', 'uy + dy * 0.5')}), 6) as dist from steps"
+ENDPOINT = f"{STEPS} select i, j, round(sqrt((dx * dx + dy * dy) * 0.5 * ({bump('ux', 'uy')} + {bump('vx', 'vy')})), 6) as dist from steps"
+
+
+@query("midpoint_distance", MIDPOINT)
 def midpoint_distance(spark: SparkSession, sf: str) -> DataFrame:
     return distance.pair_distances(steps(spark, sf), "midpoint", METRIC).select("i", "j", r6("dist"))
 
@@ -96,11 +101,25 @@ def simpson_distance(spark: SparkSession, sf: str) -> DataFrame:
     return distance.pair_distances(steps(spark, sf), "simpson", METRIC).select("i", "j", r6("dist"))
 
 
-@query("endpoint_distance", f"{STEPS} select i, j, round(sqrt((dx * dx + dy * dy) * 0.5 * ({bump('ux', 'uy')} + {bump('vx', 'vy')})), 6) as dist from steps")
+@query("endpoint_distance", ENDPOINT)
 def endpoint_distance(spark: SparkSession, sf: str) -> DataFrame:
     return distance.pair_distances(steps(spark, sf), "endpoint", METRIC).select("i", "j", r6("dist"))
 
 
+@query("midpoint_distance_sql", MIDPOINT)
+def midpoint_distance_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from Spark SQL and its functions."""
+    sql.register(spark)
+    return spark.sql("select i, j, round(midpoint_distance(bump_metric(midpoint(a, b), 3D, 0.2D), a, b), 6) as dist from {steps}", steps=steps(spark, sf))
+
+
+@query("endpoint_distance_sql", ENDPOINT)
+def endpoint_distance_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sql.register(spark)
+    dist = "endpoint_distance(bump_metric(a, 3D, 0.2D), bump_metric(b, 3D, 0.2D), a, b)"
+    return spark.sql(f"select i, j, round({dist}, 6) as dist from {{steps}}", steps=steps(spark, sf))
+
+
 @query("euclidean_distance", f"{STEPS} select i, j, round(sqrt(dx * dx + dy * dy), 6) as dist from steps")
 def euclidean_distance(spark: SparkSession, sf: str) -> DataFrame:
     return distance.pair_distances(steps(spark, sf), "euclidean", None).select("i", "j", r6("dist"))
@@ -186,22 +205,40 @@ def polylines(spark: SparkSession, sf: str) -> DataFrame:
 POLY = f"{with_tables('points')}, poly as (select label as path, row_number() over (partition by label order by vec_id) - 1 as seq, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
 
 
-@query("polyline_lengths", f"{POLY}, s as (select path, x, y, lead(x) over w as x2, lead(y) over w as y2 from poly window w as (partition by path order by seq)) select path, round(coalesce(sum(sqrt((pow(x2 - x, 2) + pow(y2 - y, 2)) * {bump('(x + x2) / 2', '(y + y2) / 2')} + 1e-10)), 0.0), 6) as length from s group by path")
+LENGTHS = f"{POLY}, s as (select path, x, y, lead(x) over w as x2, lead(y) over w as y2 from poly window w as (partition by path order by seq)) select path, round(coalesce(sum(sqrt((pow(x2 - x, 2) + pow(y2 - y, 2)) * {bump('(x + x2) / 2', '(y + y2) / 2')} + 1e-10)), 0.0), 6) as length from s group by path"
+RESAMPLED = f"""{POLY}, c as (select path, count(*) as n from poly group by path), t as (select path, n, k, k * (n - 1) / 14.0 as p from c, range(15) r(k)),
+    q as (select path, k, floor(p)::bigint as lo, least(floor(p)::bigint + 1, n - 1) as hi, p - floor(p) as s from t)
+    select q.path, k::int as seq, round((1 - s) * a.x + s * b.x, 6) + 0.0 as x, round((1 - s) * a.y + s * b.y, 6) + 0.0 as y from q join poly a on a.path = q.path and a.seq = lo join poly b on b.path = q.path and b.seq = hi"""
+
+
+@query("polyline_lengths", LENGTHS)
 def polyline_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return distance.polyline_lengths(polylines(spark, sf), METRIC).select("path", r6("length"))
 
 
-@query(
-    "polyline_resample",
-    f"""{POLY}, c as (select path, count(*) as n from poly group by path), t as (select path, n, k, k * (n - 1) / 14.0 as p from c, range(15) r(k)),
-    q as (select path, k, floor(p)::bigint as lo, least(floor(p)::bigint + 1, n - 1) as hi, p - floor(p) as s from t)
-    select q.path, k::int as seq, round((1 - s) * a.x + s * b.x, 6) + 0.0 as x, round((1 - s) * a.y + s * b.y, 6) + 0.0 as y from q join poly a on a.path = q.path and a.seq = lo join poly b on b.path = q.path and b.seq = hi""",
-)
+@query("polyline_resample", RESAMPLED)
 def polyline_resample(spark: SparkSession, sf: str) -> DataFrame:
     out = distance.resample_polylines(polylines(spark, sf), 15)
     return out.select("path", "seq", r6(F.get("coord", F.lit(0)), "x"), r6(F.get("coord", F.lit(1)), "y"))
 
 
+@query("polyline_lengths_sql", LENGTHS)
+def polyline_lengths_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from Spark SQL, one path streaming through a table function."""
+    sql.register(spark)
+    call = "select path, length from polyline_length(3D, 0.2D, TABLE({paths}) PARTITION BY path ORDER BY seq)"
+    return spark.sql(call, paths=polylines(spark, sf)).select("path", r6("length"))
+
+
+@query("polyline_resample_sql", RESAMPLED)
+def polyline_resample_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sql.register(spark)
+    p = polylines(spark, sf)
+    p = p.join(p.groupBy("path").agg(F.count("*").alias("n")), "path")
+    out = spark.sql("select * from resample_polyline(15, TABLE({paths}) PARTITION BY path ORDER BY seq)", paths=p)
+    return out.select("path", "seq", r6(F.get("coord", F.lit(0)), "x"), r6(F.get("coord", F.lit(1)), "y"))
+
+
 @query("best_candidate_paths")
 def best_candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
     return distance.best_candidate_paths(steps(spark, sf), METRIC, BOX, 20, 3)

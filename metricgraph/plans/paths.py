@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricgraph.operators import field, lattice, paths, scoring
+from metricgraph.operators import field, hubs, lattice, paths, scoring
 from metricgraph.plans.fields import BOX, METRIC, N, bump, side
 from metricgraph.plans.graphs import PAIRS, RADIUS, radius_graph
 from metricgraph.plans.models import DECODER_BODY, DECODER_LV, DECODER_MU
@@ -107,6 +107,14 @@ def measured_paths(spark: SparkSession, sf: str) -> DataFrame:
     return paths.measure_paths(paths.walk_paths(labels), p, METRIC)
 
 
+@query("hub_distances")
+def hub_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances over the radius graph from each point to the next two by id, looked up in two-hop labels."""
+    p = tables.points(spark, sf).select(F.col("id").alias("i"))
+    pairs = p.select("i", F.explode(F.array(F.col("i") + 1, F.col("i") + 2)).alias("j")).join(p.withColumnRenamed("i", "j"), "j")
+    return hubs.hub_distances(pairs, hubs.hub_labels(radius_graph(spark, sf)))
+
+
 def _ends(spark: SparkSession, sf: str) -> DataFrame:
     """One point for each label: the number of pairs follows the labels in the data."""
     n = tables.nodes(spark, sf).groupBy("label").agg(F.min(F.struct("node_id", F.slice("features", 1, 2).alias("coord"))).alias("m"))
