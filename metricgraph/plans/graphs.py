@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricgraph.functions.storage import stored
-from metricgraph.operators import diffusion, distance, evaluate, graph, laplacian, lattice, spectrum
+from metricgraph.operators import diffusion, distance, evaluate, gauss, graph, laplacian, lattice, spectrum
 from metricgraph.plans.registry import query, r6
 from metricgraph.sources import tables
 from metricgraph.sources.tables import with_tables
@@ -306,6 +306,27 @@ def euclidean_heat_loss(spark: SparkSession, sf: str) -> DataFrame:
     return diffusion.euclidean_heat_loss(point_pairs(spark, sf), radius_graph(spark, sf), times, n).select(F.round("loss", 4).alias("loss"))
 
 
+@query(
+    "heat_loss_by_cells",
+    f"""{with_tables('points')}, {PAIRS}, {RADIUS_SQL}, tt as (select t from (values (0.0005), (0.01), (0.2)) v(t)),
+    full_pairs as (select a.id as i, b.id as j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from points a, points b),
+    k as (select i, j, sum(1.0 / (4 * pi() * t) * exp(-d2 / (4 * t))) as k from full_pairs, tt group by i, j)
+    select round(sum(pow(coalesce(weight, 0.0) - k, 2)), 2) as loss from k left join near on src = i and dst = j""",
+)
+def heat_loss_by_cells(spark: SparkSession, sf: str) -> DataFrame:
+    loss = gauss.heat_loss(tables.points(spark, sf), radius_graph(spark, sf), [0.0005, 0.01, 0.2], tolerance=1e-12)
+    return loss.select(F.round("loss", 2).alias("loss"))
+
+
+@query(
+    "gauss_totals",
+    f"""{with_tables('points')}, dd as (select k, d from (values (0, 0.0001), (1, 0.02), (2, 5.0)) v(k, d))
+    select k, d::double as delta, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / d)), 4) as value from points a, points b, dd group by k, d""",
+)
+def gauss_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return gauss.gauss_totals(tables.points(spark, sf), [0.0001, 0.02, 5.0], tolerance=1e-12).select("k", "delta", F.round("value", 4).alias("value"))
+
+
 @query(
     "node_assortativity",
     f"""{with_tables('points', 'nodes')}, {PAIRS}, {RADIUS_SQL}, near_sim as (select e.src, avg(list_cosine_similarity(a.features, b.features)) as s from near e join nodes a on a.node_id = e.src join nodes b on b.node_id = e.dst group by e.src),
