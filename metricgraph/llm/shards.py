@@ -46,7 +46,7 @@ ENTRY = struct.Struct("<HHI")
 BLOCK_BYTES = 128 * 1024
 ZSTD = pa.Codec("zstd", 1)
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-MANIFEST = "part int, path string, first_key long, last_key long, n_docs long, n_ids long"
+MANIFEST = "part int, path string, first_key long, last_key long, n_docs long, n_ids long, keyless boolean"
 
 
 def key_bytes(doc_id: int) -> bytes:
@@ -219,12 +219,15 @@ def _tokenizer(path: str) -> tuple:
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, parts: int | None = None) -> DataFrame:
     """Encode docs(doc_id, text) and write one shard for each range of doc_ids under folder, a path all executors share.
 
-    Returns the manifest: part, path, first_key, last_key, n_docs, n_ids, one row for each shard in ascending order.
+    Returns the manifest: part, path, first_key, last_key, n_docs, n_ids, keyless, one row for each shard in ascending order.
     Null texts count as empty; rows that repeat an id follow one another by text. Rows without an id have no key to be
-    found by: they go under the least possible key. An empty table writes nothing. Other columns are not read.
+    found by: they lie in a shard of their own, part 0, which the manifest marks keyless. Ids are cast to long. An empty table
+    writes nothing. Other columns are not read.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     tops = row_splitters(docs, "key", parts or parallelism(docs.sparkSession))
+    part = F.when(F.col("key").isNull(), 0).otherwise(part_of(F.col("key"), tops) + 1)
+    docs = docs.select(part.alias("part"), F.coalesce("key", F.lit(-(2**63))).alias("key"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = worker_encoder(path, library_chunks, False)
@@ -240,10 +243,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None = E
         if writer is not None:
             last = int.from_bytes(writer.last, "big") - 2**63
             writer.close()
-            yield pd.DataFrame([[*row, last, len(writer.keys), writer.ids]], columns=["part", "path", "first_key", "last_key", "n_docs", "n_ids"])
+            yield pd.DataFrame([[*row, last, len(writer.keys), writer.ids, row[0] == 0]], columns=["part", "path", "first_key", "last_key", "n_docs", "n_ids", "keyless"])
 
     # A range is one partition, so that its task writes one file.
-    dealt = docs.withColumn("part", part_of(F.col("key"), tops)).repartitionById(len(tops) + 1, "part").sortWithinPartitions("key", "text")
+    dealt = docs.repartitionById(len(tops) + 2, "part").sortWithinPartitions("key", "text")
     return stored(dealt.select("part", "key", "text").mapInPandas(write, MANIFEST), "manifest").orderBy("part")
 
 
@@ -256,20 +259,20 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     starts = np.cumsum([0, *(r["n_ids"] for r in shards)]).tolist()
-    rows = [(i, r["path"], s) for i, (r, s) in enumerate(zip(shards, starts, strict=False))]
+    rows = [(i, r["path"], s, r["keyless"]) for i, (r, s) in enumerate(zip(shards, starts, strict=False))]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, start in zip(batch["path"], batch["start"], strict=True):
+            for path, start, keyless in zip(batch["path"], batch["start"], batch["keyless"], strict=True):
                 shard = ShardReader(path)
                 for i in range(shard.blocks):
                     entries = [(d, start + b, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, b, ids in shard.block(i)]
-                    yield pd.DataFrame(entries, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pd.DataFrame(entries, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).assign(keyless=keyless)
                 shard.close()
 
-    listed = spark.createDataFrame(rows, "shard int, path string, start long").repartitionById(len(rows), "shard")
-    out = listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
+    listed = spark.createDataFrame(rows, "shard int, path string, start long, keyless boolean").repartitionById(len(rows), "shard")
+    out = listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, keyless boolean")
+    return out.withColumn("doc_id", F.when(~F.col("keyless"), F.col("doc_id"))).drop("keyless")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

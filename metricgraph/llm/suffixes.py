@@ -7,6 +7,7 @@ the hash of its span, the bytes of all windows that have the anchor. Suffixes ar
 them, ordered by (lead, span, document, position), so that even a third of all suffixes alike is cut into even buckets.
 A bucket sorts by multikey quicksort and compares neighbours:
 
+- it comes sorted by lead and is held in parts of whole leads, each of which is sorted as a whole;
 - of suffixes with equal lead and span all but the first repeat as a whole;
 - the first of each span stays open if its lead has other spans too, or may have them beyond the bucket's boundary. A
   window holds the SIDE bytes before its lead or those behind it, so of an open span only the windows of a side stay that
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,12 @@ from metricgraph.llm.near import _mix
 LENGTH, LEAD = 100, 32
 #: Bytes beside the lead: a window that starts so many bytes before it or more holds those, any other the ones behind it.
 SIDE = (LENGTH - LEAD) // 2
-#: Suffixes of a bucket; documents in the sample that gives the splitters, and suffixes of each; windows at a time.
-BUCKET, SAMPLE_DOCS, SAMPLE_EACH, SEGMENT = 300_000, 1_000, 200, 1 << 22
+#: Suffixes of a bucket and the most buckets; beyond them (364 GB of text) buckets grow, but a task still holds a part at a time.
+BUCKET, BUCKETS = 300_000, 1 << 15
+#: The least documents in the sample that gives the splitters, suffixes of each, and sampled suffixes for each bucket.
+SAMPLE_DOCS, SAMPLE_EACH, PER_BUCKET = 1_000, 200, 40
+#: Bytes of a text at a time; rows of a bucket that are sorted at a time, and more only where one lead has more.
+SEGMENT, PART = 1 << 22, 100_000
 LEAD_BASE, SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 KEYS = ["lead", "span", "row_key", "lo"]
 
@@ -261,36 +266,68 @@ def _open(spans: pd.DataFrame, group: np.ndarray, ends: np.ndarray) -> pd.DataFr
     return pd.concat(parts)
 
 
+class WholeLeads:
+    """Cuts a bucket's rows, which come in order of lead, into parts of whole leads: (rows, begins, ends the bucket)."""
+
+    def __init__(self, part: int) -> None:
+        self.held, self.size, self.part, self.limit, self.begins = [], 0, part, part, True
+
+    def add(self, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, bool, bool]]:
+        if not len(rows):
+            return
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size < self.limit:
+            return
+        rows = pd.concat(self.held)
+        cut = int(np.searchsorted(rows["lead"].to_numpy(), rows["lead"].iloc[-1], side="left"))
+        self.held, self.size = [rows.iloc[cut:]], len(rows) - cut
+        self.limit = max(self.part, 2 * self.size)
+        if cut:
+            yield rows.iloc[:cut], self.begins, False
+            self.begins = False
+
+    def rest(self) -> Iterator[tuple[pd.DataFrame, bool, bool]]:
+        if self.size:
+            yield pd.concat(self.held), self.begins, True
+
+
 def _resolved(suffixes: DataFrame, buckets: int, windows: bool) -> DataFrame:
     """What a bucket finds. kind 0: windows that repeat. kind 1: open spans. kind 2 and 3: its first and last row."""
-    names = ["kind", "bucket", "lead", "span", "row_key", "lo", "n"]
+    names, rows_at_a_time = ["kind", "bucket", "lead", "span", "row_key", "lo", "n"], PART
+
+    def compared(part: pd.DataFrame, begins: bool, ends_here: bool) -> Iterator[pd.DataFrame]:
+        bucket = int(part["bucket"].iloc[0])
+        part = part.iloc[multikey_order([part[c].to_numpy() for c in KEYS])]
+        lead, span = part["lead"].to_numpy(), part["span"].to_numpy()
+        other = np.append(True, lead[1:] != lead[:-1])
+        first = other | np.append(True, span[1:] != span[:-1])
+        repeated = part[~first]
+        for _, some in repeated.groupby(np.arange(len(repeated)) // 200_000):
+            yield some.assign(kind=0)[names]
+        if windows:
+            if begins:
+                yield part.iloc[[0]].assign(kind=2)[names]
+            if ends_here:
+                yield part.iloc[[-1]].assign(kind=3)[names]
+            return
+        group = np.cumsum(other) - 1
+        ends = (group == 0) & (begins and bucket > 0) | (group == group[-1]) & (ends_here and bucket < buckets - 1)
+        yield _open(part[first], group[first], ends[first]).assign(kind=1)[names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+        bucket = WholeLeads(rows_at_a_time)
         for batch in batches:
-            known = batch["bucket"].to_numpy() < 0
-            if known.any():
-                yield batch[known].assign(kind=0)[names]
-            held.append(batch[~known])
-        rows = pd.concat(held) if held else pd.DataFrame()
-        for bucket, part in rows.groupby("bucket") if len(rows) else ():
-            part = part.iloc[multikey_order([part[c].to_numpy() for c in KEYS])]
-            lead, span = part["lead"].to_numpy(), part["span"].to_numpy()
-            other = np.append(True, lead[1:] != lead[:-1])
-            first = other | np.append(True, span[1:] != span[:-1])
-            repeated = part[~first]
-            for _, some in repeated.groupby(np.arange(len(repeated)) // 200_000):
-                yield some.assign(kind=0)[names]
-            if windows:
-                yield part.iloc[[0]].assign(kind=2)[names]
-                yield part.iloc[[-1]].assign(kind=3)[names]
-                continue
-            group = np.cumsum(other) - 1
-            ends = (group == 0) & (bucket > 0) | (group == group[-1]) & (bucket < buckets - 1)
-            yield _open(part[first], group[first], ends[first]).assign(kind=1)[names]
+            inside = batch["bucket"].to_numpy() < 0
+            if inside.any():
+                yield batch[inside].assign(kind=0)[names]
+            for part in bucket.add(batch[~inside]):
+                yield from compared(*part)
+        for part in bucket.rest():
+            yield from compared(*part)
 
     at = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("row_key"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    dealt = suffixes.repartitionById(buckets, at)
+    dealt = suffixes.repartitionById(buckets, at).sortWithinPartitions("lead")
     return dealt.mapInPandas(run, "kind int, bucket int, lead long, span long, row_key long, lo long, n long")
 
 
@@ -298,17 +335,22 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(row_key, lo, n): windows of LENGTH bytes starting at lo to lo + n - 1 that also start earlier; docs as keyed()."""
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     spark = docs.sparkSession
-    sampled = F.pmod(F.xxhash64("row_key"), F.lit(max(1, rows // SAMPLE_DOCS))) == 0
 
     def buckets(n: float) -> int:
-        return max(parallelism(spark), int(n // BUCKET) + 1)
+        return max(parallelism(spark), min(BUCKETS, int(n // BUCKET) + 1))
+
+    def sampled(n: int) -> Column:
+        """Rows of enough documents for splitters between n buckets."""
+        wanted = max(SAMPLE_DOCS, n * PER_BUCKET // SAMPLE_EACH)
+        return F.pmod(F.xxhash64("row_key"), F.lit(max(1, rows // wanted))) == 0
 
-    splitters = Splitters(_suffixes(docs.filter(sampled), None).toPandas(), buckets((size or 0) / 37))
+    n = buckets((size or 0) / 37)
+    splitters = Splitters(_suffixes(docs.filter(sampled(n)), None).toPandas(), n)
     found = stored(_resolved(_suffixes(docs, splitters), splitters.buckets, False), "suffixes")
     release(spark)
     opened = found.filter("kind = 1")
-    n = opened.agg(F.sum("n")).first()[0] or 0
-    inner = Splitters(_windows(opened.filter(sampled), docs.filter(sampled), None).toPandas(), buckets(n))
+    n = buckets(opened.agg(F.sum("n")).first()[0] or 0)
+    inner = Splitters(_windows(opened.filter(sampled(n)), docs.filter(sampled(n)), None).toPandas(), n)
     more = stored(_resolved(_windows(opened, docs, inner), inner.buckets, True), "windows")
 
     release(spark)

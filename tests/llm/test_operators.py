@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -210,12 +211,14 @@ def test_pipeline_takes_short_lines(spark):
 def test_suffixes(request, table, monkeypatch):
     docs = request.getfixturevalue(table)
     monkeypatch.setattr(suffixes, "BUCKET", 400)
+    monkeypatch.setattr(suffixes, "PART", 60)
     got = rows(suffixes.suffix_report(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.suffixes(pairs(docs))
 
 
 def test_suffixes_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BUCKET", 20)
+    monkeypatch.setattr(suffixes, "PART", 6)
     data = [(i, f"{'ab' * (i % 7)} {PASSAGE} {i % 5} tail {'zy' * (i % 3)}") for i in range(60)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(suffixes.suffix_report(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(data)
@@ -229,6 +232,19 @@ def test_suffixes_of_nothing_and_repeats(empty, repeated):
     assert sorted(map(len, kept)) == sorted([0, n, 0, 0, 32])
 
 
+def test_parts_of_a_bucket_hold_whole_leads():
+    rng = np.random.default_rng(3)
+    lead = np.sort(np.append(rng.integers(0, 40, 300), [7] * 200))  # one lead is larger than a part
+    cutter, parts = suffixes.WholeLeads(50), []
+    for at in range(0, 500, 17):
+        parts += cutter.add(pd.DataFrame({"lead": lead[at : at + 17]}))
+    parts += cutter.rest()
+    assert np.concatenate([p["lead"] for p, _, _ in parts]).tolist() == lead.tolist()
+    assert len(parts) > 3 and len(set(lead)) == sum(p["lead"].nunique() for p, _, _ in parts)
+    assert [b for _, b, _ in parts] == [True] + [False] * (len(parts) - 1) and [e for _, _, e in parts] == [False] * (len(parts) - 1) + [True]
+    assert list(suffixes.WholeLeads(50).rest()) == []
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     columns = [rng.integers(0, 4, 500) for _ in range(4)]
@@ -268,6 +284,14 @@ def test_shards_of_nothing_and_repeats(spark, empty, repeated):
     assert len(got) == 5 and sorted(r["start"] for r in got) == np.cumsum([0, *(r["n_tokens"] for r in sorted(got, key=lambda r: r["start"]))]).tolist()[:-1]
 
 
+def test_shards_tell_the_least_id_from_none(spark):
+    docs = spark.createDataFrame([(None, "b"), (-(2**63), "c"), (2**63 - 1, "d"), (None, "a")], "doc_id long, text string")
+    got = sorted(shards.round_trip(docs, PATH).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), 2**63 - 1]
+    only = shards.write_shards(docs.filter("doc_id is null"), common.shared_folder(spark, "keyless"), PATH).collect()
+    assert [(r["part"], r["keyless"], r["n_docs"]) for r in only] == [(0, True, 2)]
+
+
 def test_fingerprints(spark, awkward, empty, repeated):
     data = sorted(AWKWARD, reverse=True)
     got = rows(fingerprints.against_edits(awkward), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
