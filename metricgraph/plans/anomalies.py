@@ -152,7 +152,7 @@ def minority_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.isolation_forest(tables.nodes(spark, sf).select("node_id", F.slice("features", 1, 8).alias("features")), trees=40)
+    return evaluate.isolation_forest(tables.nodes(spark, sf).select("node_id", "features"))
 
 
 @query("reconstruction_rows")
