@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, mean, sigmoid, softplus, squared_deviation, total
 from metricgraph.functions.blocks import pair_sums
+from metricgraph.operators.graph import at_ends
 
 
 def kl_divergence(rows: DataFrame) -> DataFrame:
@@ -49,12 +50,12 @@ def adjacency_bce(latent: DataFrame, edges: DataFrame, pos_weight: float = 1.0,
     """One row, loss: cross entropy of sigmoid(z zT) against A over all n^2 pairs.
 
     The sum over all pairs of softplus(x) is made block against block and added up at once; A only enters at its edges:
-    -a pos_weight log p - (1 - a) log (1 - p) = softplus(x) + a (pos_weight softplus(-x) - softplus(x)).
+    -a pos_weight log p - (1 - a) log (1 - p) = softplus(x) + a (pos_weight softplus(-x) - softplus(x)). Edges may carry z at their ends.
     """
     n = latent.count()
-    logit = dot(F.col("a"), F.col("b"))
+    logit = F.col("logit")
     whole = pair_sums(latent, lambda x: np.logaddexp(0.0, x)).agg(F.sum("value").alias("whole"))
-    at = edges.select("src", "dst", "weight").join(latent.selectExpr("node_id as src", "z as a"), "src").join(latent.selectExpr("node_id as dst", "z as b"), "dst")
+    at = at_ends(edges, latent, "z").select("weight", dot(F.col("z_src"), F.col("z_dst")).alias("logit"))
     part = at.agg(F.coalesce(F.sum(F.col("weight") * (pos_weight * softplus(-logit) - softplus(logit))), F.lit(0.0)).alias("part"))
     return whole.crossJoin(part).select((norm * (F.col("whole") + F.col("part")) / float(n * n)).alias("loss"))
 
