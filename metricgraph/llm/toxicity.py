@@ -10,8 +10,7 @@ training rows. Beginnings matter where a language adds endings to the same insul
 
 from __future__ import annotations
 
-from functools import partial, reduce
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
@@ -19,7 +18,6 @@ from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, VectorAssem
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from metricgraph.llm.common import stored, whole_rows
 
@@ -102,10 +100,8 @@ class ToxicityChain:
             if i + 1 == len(CHAIN):
                 models.append(_fit(ready, name))
                 break
-            # The fits of a category need nothing of each other, and each is many small jobs: they run beside each other.
-            tables = [ready, *(ready.filter(F.col("fold") != fold) for fold in range(FOLDS))]
-            with ThreadPool(len(tables)) as pool:
-                whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(partial(_fit, label=name)), tables)
+            # One fit after the other: beside each other they took more memory than the driver has.
+            whole, *without = (_fit(t, name) for t in (ready, *(ready.filter(F.col("fold") != fold) for fold in range(FOLDS))))
             models.append(whole)
             parts = [_scored(model, ready.filter(F.col("fold") == fold), f"p_{name}") for fold, model in enumerate(without)]
             frame = stored(reduce(DataFrame.unionByName, parts).drop("features").coalesce(TASKS), "training")
