@@ -189,19 +189,25 @@ def library_chunks(v: Vocabulary, chunks: list[str]) -> list[bytes]:
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
     tokenizer, ends = _tokenizer(v.path)
-    exact = {f" {w}": np.array([i], "<u4").tobytes() for w, i in v.special.items()}
+    ids = {f" {w}": np.array([i], "<u4").tobytes() for w, i in v.special.items()}
+    cut: dict[str, list[str]] = {}
+    words: set[str] = set()
     for c in chunks:
-        if c[0] == " " and c not in exact:
-            exact[c] = np.array(tokenizer.encode([c[1:]], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
-    cut = [(c,) if c[0] == " " else v.pieces(c) for c in chunks]
-    words = list({w for pieces in cut for w in pieces if w[0] != " "})
-    parts = [words[i : i + 2048] for i in range(0, len(words), 2048)]
-    ids = exact
+        if c.isalpha():  # one word
+            words.add(c)
+        elif c[0] != " ":
+            cut[c] = pieces = v.pieces(c)
+            words.update(pieces)
+        elif c not in ids:
+            ids[c] = np.array(tokenizer.encode([c[1:]], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
+    listed = list(words)
+    parts = [listed[i : i + 2048] for i in range(0, len(listed), 2048)]
     for part, made in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
         found = np.array(made.ids, "<u4")
         data, stops = found.tobytes(), (4 * (np.flatnonzero(ends[found]) + 1)).tolist()
-        ids.update(zip(part, (data[s:e] for s, e in zip([0, *stops], stops, strict=False)), strict=True))
-    return [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in cut]
+        ids.update(zip(part, [data[s:e] for s, e in zip([0, *stops], stops, strict=False)], strict=True))
+    of = ids.__getitem__
+    return [b"".join(map(of, cut[c])) if c in cut else of(c) for c in chunks]
 
 
 @lru_cache(maxsize=2)

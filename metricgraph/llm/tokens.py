@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -75,11 +76,20 @@ class _Memory:
                 if len(self.again) > MAX_CHUNKS // 2:
                     self.again = present - new
                 self.known = {c: self.known[c] for c in self.again}
-            new = list(new)
-            self.known.update(zip(new, self.work(new), strict=True))
+            self._learn(list(new))
             while used:  # what has been given is let go
                 yield used.pop(0)
 
+    def _learn(self, new: list[str]) -> None:
+        """The collector of cycles rests meanwhile: many lists are made, none of them in a cycle, and it would walk them all."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            self.known.update(zip(new, self.work(new), strict=True))
+        finally:
+            if on:
+                gc.enable()
+
 
 class Encoder:
     """Encodes batches of texts; remembers the ids of chunks."""
