@@ -66,10 +66,11 @@ def own_ids(keyed_docs: DataFrame) -> bool:
     return keyed_docs.filter("row_key is distinct from doc_id").isEmpty()
 
 
-def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[tuple]]], fields: str) -> DataFrame:
+def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[tuple]]], fields: str, most: int = ROWS) -> DataFrame:
     """One row for each row of docs: doc_id as it is, and the fields that the started function gives for its text.
 
-    start() runs once for each task, its function once for each batch. Null texts come as empty strings.
+    start() runs once for each task, its function once for each batch of at most `most` rows. Null texts come as empty
+    strings. A worker outlives its task by a minute, so the memory of Arrow's batches is given back at the end.
     """
     made = T.StructType.fromDDL(fields)
     schema = T.StructType([docs.schema["doc_id"], *made.fields])
@@ -78,10 +79,12 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):  # what is made for a batch can be many times its size
-                batch = whole.slice(at, ROWS)
+            for at in range(0, whole.num_rows, most):  # what is made for a batch can be many times its size
+                batch = whole.slice(at, most)
                 rows = of([t or "" for t in batch.column("text").to_pylist()])
                 columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *arrow.names])
+        whole = batch = rows = columns = None
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

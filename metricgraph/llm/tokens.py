@@ -19,6 +19,8 @@ from metricgraph.llm.wordbpe import Vocabulary, count_word, encode_words, vocabu
 #: have come in. Both only bound memory; results do not depend on them.
 MAX_CHUNKS = 400_000
 CHUNK_CHARS = 6_000_000
+#: The same for a worker that gives out ids and texts, and the rows that it encodes at a time.
+WHOLE_CHUNKS, WHOLE_ROWS = 200_000, 500
 
 
 def _chunks(texts: list[str]) -> Iterator[range]:
@@ -59,11 +61,11 @@ class _WordCounts(dict):
 class _Memory:
     """What is known of distinct chunks; each new one is worked out once, together with the others of some texts.
 
-    Beyond MAX_CHUNKS those are forgotten that only one lot of texts has held, or if others fill half of it, all but the last.
+    Beyond `most` those are forgotten that only one lot of texts has held, or if others fill half of it, all but the last.
     """
 
-    def __init__(self, v: Vocabulary, work: Callable[[list[str]], list]):
-        self.v, self.work, self.known, self.again = v, work, {}, set()
+    def __init__(self, v: Vocabulary, work: Callable[[list[str]], list], most: int | None = None):
+        self.v, self.work, self.most, self.known, self.again = v, work, most or MAX_CHUNKS, {}, set()
 
     def __call__(self, texts: list[str]) -> Iterator[list[str]]:
         """The chunks of each text, all of them known."""
@@ -72,8 +74,8 @@ class _Memory:
             present = set().union(*used)
             new = present.difference(self.known)
             self.again |= present - new
-            if len(self.known) + len(new) > MAX_CHUNKS:
-                if len(self.again) > MAX_CHUNKS // 2:
+            if len(self.known) + len(new) > self.most:
+                if len(self.again) > self.most // 2:
                     self.again = present - new
                 self.known = {c: self.known[c] for c in self.again}
             self._learn(list(new))
@@ -94,9 +96,9 @@ class _Memory:
 class Encoder:
     """Encodes batches of texts; remembers the ids of chunks."""
 
-    def __init__(self, path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True):
+    def __init__(self, path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True, most: int | None = None):
         self.v, self.encode, self.decoded = vocabulary(path), encode, decoded
-        self.memory = _Memory(self.v, self._work)
+        self.memory = _Memory(self.v, self._work, most)
 
     def _work(self, chunks: list[str]) -> list[bytes]:
         return self.encode(self.v, chunks)
@@ -109,9 +111,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True) -> Encoder:
+def worker_encoder(path: str, encode: Callable[[Vocabulary, list[str]], list[bytes]] = encode_chunks, decoded: bool = True, most: int | None = None) -> Encoder:
     """The encoder of this Python worker: what it remembers serves all tasks that the worker gets."""
-    return Encoder(path, encode, decoded)
+    return Encoder(path, encode, decoded, most)
 
 
 class Counter:
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """
 
     def start() -> Callable[[list[str]], list[tuple]]:
-        encoder = worker_encoder(path)
+        encoder = worker_encoder(path) if digests else worker_encoder(path, most=WHOLE_CHUNKS)
 
         def of(texts: list[str]) -> list[tuple]:
             if digests:
@@ -154,7 +156,9 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
         return of
 
-    return map_texts(docs, start, "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    if digests:
+        return map_texts(docs, start, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, start, "ids array<int>, decoded string", WHOLE_ROWS)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
