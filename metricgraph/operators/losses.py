@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricgraph.functions.arrays import dot, mean, sigmoid, softplus, squared_deviation, total
-from metricgraph.functions.blocks import pair_sums
+from metricgraph.functions.blocks import near_sums, pair_sums
 from metricgraph.operators.graph import at_ends
 
 
@@ -60,6 +60,15 @@ def adjacency_bce(latent: DataFrame, edges: DataFrame, pos_weight: float = 1.0,
     return whole.crossJoin(part).select((norm * (F.col("whole") + F.col("part")) / float(n * n)).alias("loss"))
 
 
+def near_adjacency_bce(latent: DataFrame, radius: float, pos_weight: float = 1.0, norm: float = 1.0) -> DataFrame:
+    """adjacency_bce of latent(node_id, z, at) over the radius graph of `at`, whose edges weigh their length: no edge is made a row."""
+    n = latent.count()
+    whole = pair_sums(latent.select("node_id", "z"), lambda x: np.logaddexp(0.0, x)).agg(F.sum("value").alias("whole"))
+    on_edge = lambda x, w: w * (pos_weight * np.logaddexp(0.0, -x) - np.logaddexp(0.0, x))
+    part = near_sums(latent.select(F.col("node_id").alias("id"), "at", F.col("z").alias("v")), radius, on_edge).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("part"))
+    return whole.crossJoin(part).select((norm * (F.col("whole") + F.col("part")) / float(n * n)).alias("loss"))
+
+
 def total_loss(losses: DataFrame, weights: DataFrame, kl: Column | float = 0.0, kl_weight: float = 0.0) -> DataFrame:
     """One row, total: sum of weight * loss of losses(decoder, component, value) and weights(decoder, component, weight,
     active), plus the weighted divergence (G6).
